@@ -1,0 +1,111 @@
+"""The general data problems over the lineage tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldloom.operators.components import group_keys, normal_key
+from fieldloom.operators.orphans import Child, Parent, find_orphans, orphan_report
+from fieldloom.operators.selection import hot_keys, per_key_quantiles, per_key_summary
+from fieldloom.operators.shred import property_entities, schema_properties, shred
+from fieldloom.plans.scratch import Scratch
+from fieldloom.sources import read_table
+
+HOT_SHARE = 0.02
+KEYS = ["entry_point_id", "mapper_id"]
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Entry points and mappers that hold at least 2 % of all edges."""
+    return hot_keys(read_table(spark, d, "edges"), KEYS, HOT_SHARE).select("key_name", "key_value")
+
+
+def p1_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Edges, target fields, last arrival and quartiles of the arrival per entry point and mapper."""
+    edges = read_table(spark, d, "edges")
+    summary = per_key_summary(edges, KEYS, "target_field_id", "ingested_at")
+    quantiles = per_key_quantiles(edges, KEYS, "ingested_at", [0.25, 0.5, 0.75]).drop("n_values")
+    return summary.join(quantiles, ["key_name", "key_value"], "left")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The group of every business key."""
+    edges = read_table(spark, d, "edges").select(normal_key(F.col("source_bk")).alias("a"), normal_key(F.col("target_bk")).alias("b"))
+    fields = read_table(spark, d, "field").select(normal_key(F.col("business_key")).alias("k"))
+    records = edges.select(F.explode(F.array("a", "b")).alias("k")).unionByName(fields)
+    return group_keys(records, edges)
+
+
+def p2_group_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """How many groups there are of each size."""
+    sizes = p2_found(spark, d).groupBy("group_key").agg(F.count(F.lit(1)).alias("n_keys"))
+    return sizes.groupBy("n_keys").agg(F.count(F.lit(1)).alias("n_groups"))
+
+
+def _references(spark: SparkSession, d: str) -> tuple[list[Parent], list[Child]]:
+    edges, field = read_table(spark, d, "edges"), read_table(spark, d, "field")
+    parents = [
+        Parent("field", field, "id", "seen_at", "deleted_at"),
+        Parent("entry_point", read_table(spark, d, "entry_point"), "id", "seen_at", "deleted_at"),
+        Parent("schema_def", read_table(spark, d, "schema_def"), "id", "seen_at", "deleted_at"),
+    ]
+    to = {"source_field_id": "field", "target_field_id": "field", "entry_point_id": "entry_point"}
+    return parents, [Child("edges", edges, to, "ingest_seq", "ingested_at"), Child("field", field, {"schema_id": "schema_def"}, "ingest_seq", "seen_at")]
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """References to fields, entry points and schemas that don't exist at their time."""
+    return find_orphans(*_references(spark, d)).select("table_name", "column_name", "ingest_seq")
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Orphan references per table, column and month."""
+    parents, children = _references(spark, d)
+    return orphan_report(find_orphans(parents, children), children)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The properties of the registered schemas, each with its parent."""
+    scratch = Scratch(spark)
+    adjacency = scratch.cut(shred(read_table(spark, d, "schema_doc"), "schema_id", "body"))
+    return schema_properties(adjacency, scratch).select("schema_id", "path", "parent_path").distinct()
+
+
+def p5_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The properties with their scalar members, and whether the field is registered."""
+    scratch = Scratch(spark)
+    adjacency = scratch.cut(shred(read_table(spark, d, "schema_doc"), "schema_id", "body"))
+    entities = property_entities(adjacency, schema_properties(adjacency, scratch), ["type", "format", "description", "maxLength"]).distinct()
+    fields = read_table(spark, d, "field").select(F.col("schema_id").alias("s"), F.col("path").alias("f")).distinct()
+    joined = entities.join(fields, (F.col("schema_id") == F.col("s")) & (F.col("path") == F.col("f")), "left")
+    return joined.withColumn("registered", F.col("f").isNotNull()).drop("s", "f")
+
+
+QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p2_found": p2_found, "p2_group_sizes": p2_group_sizes, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_entities": p5_entities}
+
+_LONG_KEYS = """SELECT 'entry_point_id' AS key_name, entry_point_id AS key_value, target_field_id, ingested_at FROM edges WHERE entry_point_id IS NOT NULL
+  UNION ALL SELECT 'mapper_id', mapper_id, target_field_id, ingested_at FROM edges WHERE mapper_id IS NOT NULL"""
+
+_REFS = """SELECT 'edges' AS table_name, 'source_field_id' AS column_name, ingest_seq, ingested_at AS at, source_field_id AS ref, 'field' AS parent FROM edges WHERE source_field_id IS NOT NULL
+  UNION ALL SELECT 'edges', 'target_field_id', ingest_seq, ingested_at, target_field_id, 'field' FROM edges WHERE target_field_id IS NOT NULL
+  UNION ALL SELECT 'edges', 'entry_point_id', ingest_seq, ingested_at, entry_point_id, 'entry_point' FROM edges WHERE entry_point_id IS NOT NULL
+  UNION ALL SELECT 'field', 'schema_id', ingest_seq, seen_at, schema_id, 'schema_def' FROM field WHERE schema_id IS NOT NULL"""
+_LIVES = """SELECT 'field' AS parent, id, seen_at, deleted_at FROM field UNION ALL SELECT 'entry_point', id, seen_at, deleted_at FROM entry_point
+  UNION ALL SELECT 'schema_def', id, seen_at, deleted_at FROM schema_def"""
+_ORPHANS = f"""refs AS ({_REFS}), lives AS ({_LIVES}),
+  met AS (SELECT DISTINCT r.table_name, r.column_name, r.ingest_seq FROM refs r JOIN lives l ON r.parent = l.parent AND r.ref = l.id AND l.seen_at <= r.at AND (l.deleted_at IS NULL OR l.deleted_at > r.at)),
+  orphans AS (SELECT r.* FROM refs r ANTI JOIN met m USING (table_name, column_name, ingest_seq))"""
+
+SQL = {
+    "p1_found": f"""WITH long AS ({_LONG_KEYS}) SELECT key_name, key_value FROM long GROUP BY 1, 2 HAVING count(*) >= 0.02 * (SELECT count(*) FROM edges)""",
+    "p1_profile": f"""WITH long AS ({_LONG_KEYS}),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY key_name, key_value ORDER BY ingested_at) AS rn, count(ingested_at) OVER (PARTITION BY key_name, key_value) AS n FROM long)
+  SELECT key_name, key_value, count(*) AS n_rows, count(DISTINCT target_field_id) AS n_distinct, max(ingested_at) AS last_value,
+    max(CASE WHEN rn = greatest(1, ceil(n / 4.0)) THEN ingested_at END) AS q_25, max(CASE WHEN rn = greatest(1, ceil(n / 2.0)) THEN ingested_at END) AS q_50,
+    max(CASE WHEN rn = greatest(1, ceil(n * 3 / 4.0)) THEN ingested_at END) AS q_75
+  FROM ranked GROUP BY 1, 2""",
+    "p4_found": f"WITH {_ORPHANS} SELECT table_name, column_name, ingest_seq FROM orphans",
+    "p4_report": f"""WITH {_ORPHANS} SELECT table_name, column_name, period, count(*) AS n_references, count(o) AS n_orphans FROM
+  (SELECT r.table_name, r.column_name, strftime(r.at, '%Y-%m') AS period, o.ingest_seq AS o FROM refs r LEFT JOIN orphans o USING (table_name, column_name, ingest_seq)) GROUP BY 1, 2, 3""",
+}
