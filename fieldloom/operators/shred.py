@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.jsontokens import nodes
 from fieldloom.plans.scratch import Scratch
+from fieldloom.plans.spread import spread
 
 NODE_SCHEMA = "doc long, doc_key string, node int, parent int, label string, ordinal int, kind string, scalar string"
 _ARROW = pa.schema([("doc", pa.int64()), ("doc_key", pa.string()), ("node", pa.int32()), ("parent", pa.int32()), ("label", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("scalar", pa.string())])
@@ -48,9 +49,7 @@ def shred(df: DataFrame, key: str, body: str) -> DataFrame:
     has one. Texts compress well, so a small file may hold many: they are spread over more tasks than the file has splits.
     """
     texts = df.select(F.monotonically_increasing_id().alias("doc"), F.col(f"`{key}`").cast("string").alias("doc_key"), F.col(f"`{body}`").alias("body"))
-    spark = df.sparkSession
-    tasks = max(4 * texts.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism * 2)
-    return texts.repartition(tasks, "doc").mapInArrow(_shred, NODE_SCHEMA)
+    return spread(texts, "doc").mapInArrow(_shred, NODE_SCHEMA)
 
 
 #: What a node may be: a schema, the object with a schema's properties, or a list of schemas that are combined.
