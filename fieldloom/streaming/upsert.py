@@ -1,0 +1,37 @@
+"""A table of current facts kept up to date from a stream of deliveries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from fieldloom.operators.facts import last_wins
+
+
+def upsert_stream(deliveries: DataFrame, target: str, key: str, order: str, checkpoint: str) -> StreamingQuery:
+    """Merge each batch of deliveries into the table at ``target``, last delivery per key winning; late ones never replace newer.
+
+    Each batch writes a new version of the table, ``target/v=<batch>``, from the one before: running a batch again gives the same version,
+    so that the result doesn't change when a lost driver repeats it. Ends when the source is read up (``availableNow``).
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        old = current_table(spark, target, below=number)
+        every = batch if old is None else old.select(*batch.columns).unionByName(batch)
+        last_wins(every, key, order).select(*batch.columns).write.mode("overwrite").parquet(f"{target}/v={number}")
+
+    return deliveries.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_table(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
+    """The latest version, or the latest before version ``below``; None if there is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return None
+    whole = [s.getPath() for s in files.listStatus(path) if s.getPath().getName().startswith("v=") and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    versions = sorted(int(p.getName()[2:]) for p in whole)
+    versions = [v for v in versions if below is None or v < below]
+    return spark.read.parquet(f"{target}/v={versions[-1]}") if versions else None
