@@ -1,6 +1,6 @@
 """Facts from Java source texts, as column expressions over lines and methods.
 
-A file's text is cut into lines that keep their number, comments are blanked with their line ends kept, and patterns find packages, imports,
+Comments are taken out of a file's text, with their line ends kept, the rest is cut into numbered lines, and patterns find packages, imports,
 methods and the calls that set a target's members. What the value is read from is taken apart by its shape, the first rule that applies.
 """
 
@@ -11,48 +11,34 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.text import decapitalised
 
-#: Text blocks, strings and comments in one pattern, so that none is looked for inside another; only comments are blanked.
-_COMMENT = r'(?s)("""(?:[^\\"]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)+\')|//[^\n]*|/\*.*?\*/'
+#: Text blocks, strings, comments and what lies between, in one pattern, so that none is looked for inside another.
+_PIECES = r"""(?s)\"{3}(?:[^\\"]++|\\.|"(?!""))*+\"{3}|"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)++'|//[^\n]*|/\*.*?\*/|[^"'/]++|."""
 METHOD = r"^\s*(?:(?:public|protected|private|static|final|default|abstract|synchronized)\s+)*([A-Za-z_][\w.]*(?:<[^()]*>)?(?:\[\])*)\s+([a-z]\w*)\s*\(([^()]*)\)\s*(?:throws\s+[\w., ]+)?\{\s*$"
 SETTER = r"\b([a-z]\w*)\.set([A-Z]\w*)\((.*)\)\s*;"
 _NOT_TYPES = ("return", "new", "else", "throw", "case", "package", "import")
 
 
-def code_lines(files: DataFrame) -> DataFrame:
-    """``file_id, file, line, code``: the lines of Java files without comments; line ends inside a comment go with it, all others count.
-
-    A null content has no lines. Carriage returns are taken off.
-    """
-    java = files.filter(F.lower(F.substring_index("file", ".", -1)) == "java")
-    # a comment over several lines leaves its line ends: each piece between line ends is blanked by itself
-    text = F.regexp_replace(F.replace("content", F.lit("\r")), _COMMENT, "$1")
-    whole = F.size(F.split("content", "\n")) == F.size(F.split(text, "\n"))
-    kept = F.when(whole, F.split(text, "\n")).otherwise(_keeping_lines(F.replace(F.col("content"), F.lit("\r"))))
-    return java.select("file_id", "file", F.posexplode(kept).alias("_n", "code")).select("file_id", "file", (F.col("_n") + 1).alias("line"), "code")
+def without_comments(text: Column) -> Column:
+    """A Java text without carriage returns and comments; the line ends inside a comment stay."""
+    pieces = F.regexp_extract_all(F.replace(text, F.lit("\r")), F.lit(_PIECES), F.lit(0))
+    ends = lambda p: F.repeat(F.lit("\n"), F.length(p) - F.length(F.replace(p, F.lit("\n"))))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.startswith("//"), "").when(p.startswith("/*"), ends(p)).otherwise(p)), "")
 
 
-def _keeping_lines(text: Column) -> Column:
-    """Lines of a text with comments over several lines: the comment's inner lines are empty."""
-    lines = F.split(F.regexp_replace(text, r"//[^\n]*", ""), "\n")
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, line: Column) -> Column:
-        opens, closes = line.contains("/*"), line.contains("*/")
-        code = F.when(acc["inside"] & closes, F.regexp_replace(line, r"^.*?\*/", "")).when(acc["inside"], "").when(opens & ~closes, F.regexp_replace(line, r"/\*.*$", "")).otherwise(F.regexp_replace(line, r"/\*.*?\*/", ""))
-        inside = (acc["inside"] & ~closes) | (~acc["inside"] & opens & ~closes)
-        return F.struct(inside.alias("inside"), F.array_append(acc["out"], code).alias("out"))
-
-    return F.aggregate(lines, start, step, lambda acc: acc["out"])
+def code_lines(files: DataFrame) -> DataFrame:
+    """``file_id, file, line, code``: the lines of Java files without comments, each with its number. A null content has no lines."""
+    java = files.filter(F.lower(F.substring_index("file", ".", -1)) == "java")
+    lines = F.split(without_comments(F.col("content")), "\n")
+    return java.select("file_id", "file", F.posexplode(lines).alias("_n", "code")).select("file_id", "file", (F.col("_n") + 1).alias("line"), "code")
 
 
 def units(files: DataFrame) -> DataFrame:
     """``file_id, package, class_name, imports``: of each Java file, its package, first type and imports by simple name (the first of a name wins)."""
     java = files.filter(F.lower(F.substring_index("file", ".", -1)) == "java")
-    text = F.regexp_replace(F.replace("content", F.lit("\r")), _COMMENT, "$1")
     imports = F.expr(r"regexp_extract_all(_text, r'(?m)^\s*import\s+(?:static\s+)?([\w.]+)\s*;', 1)")
     named = F.transform(imports, lambda x: F.struct(F.substring_index(x, ".", -1).alias("key"), x.alias("value")))
     first = F.aggregate(named, F.array().cast("array<struct<key string, value string>>"), lambda acc, x: F.when(F.exists(acc, lambda y: y["key"] == x["key"]), acc).otherwise(F.array_append(acc, x)))
-    return java.select("file_id", "content", text.alias("_text")).select(
+    return java.select("file_id", without_comments(F.col("content")).alias("_text")).select(
         "file_id",
         F.nullif(F.regexp_extract("_text", r"(?m)^\s*package\s+([\w.]+)\s*;", 1), F.lit("")).alias("package"),
         F.nullif(F.regexp_extract("_text", r"(?m)^\s*(?:(?:public|abstract|final|sealed)\s+)*(?:class|interface|enum|record)\s+(\w+)", 1), F.lit("")).alias("class_name"),

@@ -46,7 +46,7 @@ def inverted_index(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def search(index: DataFrame, tokens: list[str]) -> DataFrame:
     """Keys with all of the tokens and how often they occur: ``key, n``."""
-    wanted = [t.lower() for t in dict.fromkeys(tokens)]
+    wanted = list(dict.fromkeys(t.lower() for t in tokens))
     hits = index.filter(F.col("token").isin(wanted)).groupBy("key").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("n"))
     return hits.filter(F.col("_m") == len(wanted)).drop("_m")
 
