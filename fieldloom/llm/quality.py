@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions.arrays import let
 
 BLANK = "[ \\t\\r\\n]+"
 #: Up to so many common words become a set in the plan; more are joined.
@@ -26,16 +25,16 @@ def _top_bigram_share(words: Column) -> Column:
 
     def step(acc: Column, pair: Column) -> Column:
         run = F.when(acc["last"] == pair, acc["run"] + 1).otherwise(1)
-        return let(run, lambda n: F.struct(pair.alias("last"), n.alias("run"), F.greatest(acc["best"], F.when(n > 1, n * (F.length(pair) - 1)).otherwise(0)).alias("best")))
+        return F.struct(pair.alias("last"), run.alias("run"), F.greatest(acc["best"], F.when(run > 1, run * (F.length(pair) - 1)).otherwise(0)).alias("best"))
 
     pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
-    best = F.aggregate(F.array_sort(pairs), empty, step, lambda acc: acc["best"])
+    best = F.aggregate(F.sort_array(pairs), empty, step, lambda acc: acc["best"])
     return F.when(F.size(words) >= 2, F.least(F.lit(1.0), best / F.length(F.array_join(words, ""))))
 
 
-def _line_shares(lines: Column, name: str) -> Column:
+def _line_shares(lines: Column) -> Column:
     """Of lines or paragraphs, the share of those that stood before."""
-    return _share((F.size(lines) - F.size(F.array_distinct(lines))).cast("double"), F.size(lines)).alias(name)
+    return _share((F.size(lines) - F.size(F.array_distinct(lines))).cast("double"), F.size(lines))
 
 
 def text_statistics(documents: DataFrame, common: DataFrame, doc_id: str = "doc_id", text: str = "text", word: str = "word") -> DataFrame:
@@ -51,38 +50,40 @@ def text_statistics(documents: DataFrame, common: DataFrame, doc_id: str = "doc_
     joined = len(known) > SET_WORDS
     known = [] if joined else known
     docs = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    words = F.filter(F.split("text", BLANK), lambda w: w != "")
-    letters = lambda w: F.lower(F.regexp_replace(w, "[^\\p{L}]", ""))
-    dense = F.length(F.regexp_replace("text", BLANK, ""))
-    symbols = F.length(F.regexp_replace("text", "[\\p{L}\\p{Nd} \\t\\r\\n]", ""))
-
-    def of_words(w: Column) -> Column:
-        n = F.size(w)
-        hits = F.size(F.filter(w, lambda x: letters(x).isin(known))) if known else F.lit(0)
-        return F.struct(n.cast("long").alias("n_words"), _share(dense.cast("double"), n).alias("mean_word_length"), _share(hits.cast("double"), n).alias("common_word_share"), _top_bigram_share(w).alias("top_bigram_share"))
-
-    def of_lines(lines: Column) -> Column:
-        n = F.size(lines)
-        ended = F.size(F.filter(lines, lambda x: F.right(x, F.lit(1)).isin(".", "!", "?")))
-        listed = F.size(F.filter(lines, lambda x: x.rlike("^([-*+\\u2022|]|\\(?[0-9]{1,3}[.)])")))
-        return F.struct(_share(ended.cast("double"), n).alias("line_end_share"), _share(listed.cast("double"), n).alias("list_line_share"), _line_shares(lines, "duplicate_line_share"))
-
-    stats = docs.select(
+    filled = lambda t: F.filter(F.split(t, BLANK), lambda w: w != "")
+    # a word without letters can't be a common one, so letters are sought in the whole text at once
+    letters = filled(F.lower(F.regexp_replace("text", "[^\\p{L} \\t\\r\\n]+", "")))
+    arrays = docs.select(
         "doc_id",
-        "text",
-        let(words, of_words).alias("a"),
-        let(_filled(F.split("text", "\n")), of_lines).alias("b"),
-        let(_filled(F.split("text", "\n[ \\t\\r]*\n")), lambda p: F.struct(_line_shares(p, "duplicate_paragraph_share"))).alias("c"),
-        _share(symbols.cast("double"), dense).alias("symbol_ratio"),
+        F.length(F.regexp_replace("text", BLANK, "")).alias("dense"),
+        F.length(F.regexp_replace("text", "[\\p{L}\\p{Nd} \\t\\r\\n]+", "")).alias("symbols"),
+        filled(F.col("text")).alias("words"),
+        (F.size(F.filter(letters, lambda w: w.isin(known))) if known else F.lit(0)).alias("hits"),
+        _filled(F.split("text", "\n")).alias("lines"),
+        _filled(F.split("text", "\n[ \\t\\r]*\n")).alias("paragraphs"),
+    )
+    n_words, lines = F.size("words"), F.col("lines")
+    ended = F.size(F.filter(lines, lambda x: F.right(x, F.lit(1)).isin(".", "!", "?")))
+    listed = F.size(F.filter(lines, lambda x: x.rlike("^([-*+\\u2022|]|\\(?[0-9]{1,3}[.)])")))
+    stats = arrays.select(
+        "doc_id",
+        n_words.cast("long").alias("n_words"),
+        _share(F.col("dense").cast("double"), n_words).alias("mean_word_length"),
+        _share(F.col("symbols").cast("double"), F.col("dense")).alias("symbol_ratio"),
+        _share(ended.cast("double"), F.size(lines)).alias("line_end_share"),
+        _share(F.col("hits").cast("double"), n_words).alias("common_word_share"),
+        _line_shares(lines).alias("duplicate_line_share"),
+        _line_shares(F.col("paragraphs")).alias("duplicate_paragraph_share"),
+        _top_bigram_share(F.col("words")).alias("top_bigram_share"),
+        _share(listed.cast("double"), F.size(lines)).alias("list_line_share"),
     )
-    columns = ["a.n_words", "a.mean_word_length", "symbol_ratio", "b.line_end_share", "a.common_word_share", "b.duplicate_line_share", "c.duplicate_paragraph_share", "a.top_bigram_share", "b.list_line_share"]
     if not joined:
-        return stats.select("doc_id", *columns)
+        return stats
     # too many words for a set: count each document's common words by a join
-    rows = docs.select("doc_id", F.explode(words).alias("x")).select("doc_id", letters(F.col("x")).alias("x"))
-    hits = rows.groupBy("doc_id", "x").count().join(vocabulary, F.col("x") == F.col("w")).groupBy(F.col("doc_id").alias("d")).agg(F.sum("count").alias("hits"))
-    share = _share(F.coalesce("hits", F.lit(0)).cast("double"), F.col("a.n_words")).alias("common_word_share")
-    return stats.join(hits, F.col("doc_id") == F.col("d"), "left").select("doc_id", *[share if c == "a.common_word_share" else c for c in columns])
+    rows = docs.select("doc_id", F.explode(letters).alias("x")).groupBy("doc_id", "x").count()
+    counts = rows.join(vocabulary, F.col("x") == F.col("w")).groupBy(F.col("doc_id").alias("d")).agg(F.sum("count").alias("n"))
+    share = _share(F.coalesce("n", F.lit(0)).cast("double"), F.col("n_words")).alias("common_word_share")
+    return stats.join(counts, F.col("doc_id") == F.col("d"), "left").select(*[share if c == "common_word_share" else c for c in stats.columns])
 
 
 def faults() -> Column:
