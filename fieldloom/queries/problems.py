@@ -97,7 +97,14 @@ _ORPHANS = f"""refs AS ({_REFS}), lives AS ({_LIVES}),
   met AS (SELECT DISTINCT r.table_name, r.column_name, r.ingest_seq FROM refs r JOIN lives l ON r.parent = l.parent AND r.ref = l.id AND l.seen_at <= r.at AND (l.deleted_at IS NULL OR l.deleted_at > r.at)),
   orphans AS (SELECT r.* FROM refs r ANTI JOIN met m USING (table_name, column_name, ingest_seq))"""
 
+_GROUPS = """WITH RECURSIVE k AS (SELECT lower(trim(source_bk, ' ' || chr(9) || chr(13) || chr(10))) AS a, lower(trim(target_bk, ' ' || chr(9) || chr(13) || chr(10))) AS b FROM edges),
+  l AS (SELECT a, b FROM k WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM k WHERE a IS NOT NULL AND b IS NOT NULL),
+  r AS (SELECT a AS x FROM k WHERE a IS NOT NULL UNION SELECT b FROM k WHERE b IS NOT NULL UNION SELECT lower(trim(business_key, ' ' || chr(9) || chr(13) || chr(10))) FROM field WHERE business_key IS NOT NULL),
+  t(x, y) AS (SELECT x, x FROM r UNION SELECT t.x, l.b FROM t JOIN l ON t.y = l.a), g AS (SELECT min(y) AS group_key, x AS business_key FROM t GROUP BY x)"""
+
 SQL = {
+    "p2_found": f"{_GROUPS} SELECT group_key, business_key FROM g",
+    "p2_group_sizes": f"{_GROUPS} SELECT n_keys, count(*) AS n_groups FROM (SELECT group_key, count(*) AS n_keys FROM g GROUP BY 1) GROUP BY 1",
     "p1_found": f"""WITH long AS ({_LONG_KEYS}) SELECT key_name, key_value FROM long GROUP BY 1, 2 HAVING count(*) >= 0.02 * (SELECT count(*) FROM edges)""",
     "p1_profile": f"""WITH long AS ({_LONG_KEYS}),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY key_name, key_value ORDER BY ingested_at) AS rn, count(ingested_at) OVER (PARTITION BY key_name, key_value) AS n FROM long)
