@@ -48,9 +48,9 @@ def passages(text: Column, run: int) -> Column:
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, run: int = 12, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """Pairs of a document and an item that share at least ``run`` consecutive words: ``doc_id, item_id``, one row each.
+    """Pairs of a document and an item that share at least ``run`` consecutive words: ``doc_id, item_id, containment``, one row each.
 
-    Null and shorter texts share nothing. Repeated documents and items each have their own rows. Documents are read twice and shuffled only
+    ``containment`` is the share of the item's distinct runs of so many words that the document has, 1 if it holds the whole item. Null and shorter texts share nothing. Repeated documents and items each have their own rows. Documents are read twice and shuffled only
     if the candidates are too many to broadcast.
     """
     scratch = Scratch(documents.sparkSession)
@@ -70,12 +70,16 @@ def find_leaks(documents: DataFrame, items: DataFrame, run: int = 12, doc_id: st
         near = docs.join(F.broadcast(pairs), F.col("doc_id") == F.col("d")).join(tests, "item_id")
     else:
         near = docs.join(tested, F.col("doc_id") == F.col("d"))
-    shared = F.arrays_overlap(passages(F.col("doc_text"), run), passages(F.col("item_text"), run))
-    return near.filter(shared).select("doc_id", "item_id").distinct()
+    inside = F.size(F.array_intersect(passages(F.col("item_text"), run), passages(F.col("doc_text"), run)))
+    whole = F.size(F.array_distinct(passages(F.col("item_text"), run)))
+    # one row per pair even if an id is no key after all
+    found = near.select("doc_id", "item_id", (inside / whole).alias("containment")).filter("containment > 0")
+    return found.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
 
 
 def leak_report(leaks: DataFrame, items: DataFrame) -> DataFrame:
-    """Every item with the number of documents it leaked into: ``item_id, suite, split, n_documents``; 0 for those that didn't."""
-    counts = leaks.groupBy(F.col("item_id").alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    """Every item with the number of documents it leaked into and the largest containment: ``item_id, suite, split, n_documents,
+    largest_containment``; 0 for those that didn't."""
+    counts = leaks.groupBy(F.col("item_id").alias("i")).agg(F.count(F.lit(1)).alias("n"), F.max("containment").alias("c"))
     joined = items.join(counts, F.col("item_id") == F.col("i"), "left")
-    return joined.select("item_id", "suite", "split", F.coalesce("n", F.lit(0).cast("long")).alias("n_documents"))
+    return joined.select("item_id", "suite", "split", F.coalesce("n", F.lit(0).cast("long")).alias("n_documents"), F.coalesce("c", F.lit(0.0)).alias("largest_containment"))

@@ -25,14 +25,23 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax_rates(files, checked, read_table(spark, d, "coverage"))
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_item"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that share at least 12 consecutive words with an evaluation item, with the item."""
-    return find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_item"))
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p6_containment(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the item each of these documents holds."""
+    return _leaks(spark, d)
 
 
 def p6_items(spark: SparkSession, d: str) -> DataFrame:
     """Every evaluation item with the number of documents it leaked into."""
-    return leak_report(p6_found(spark, d), read_table(spark, d, "eval_item"))
+    return leak_report(_leaks(spark, d), read_table(spark, d, "eval_item"))
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -64,12 +73,12 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     return _statistics(spark, d).groupBy(text_class().alias("text_class")).agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_rates, p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_statistics, p8_classes)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_rates, p6_found, p6_containment, p6_items, p7_mix, p7_shares, p8_found, p8_statistics, p8_classes)}
 
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')"
 _GRAMS = """SELECT DISTINCT {id}, array_to_string(w[i:i + 11], ' ') AS gram FROM (SELECT {id}, w, unnest(generate_series(1, len(w) - 11)) AS i FROM (SELECT {id}, {words} AS w FROM {table}))"""
 _LEAKS = f"""d AS ({_GRAMS.format(id="doc_id", words=_WORDS, table="documents")}), t AS ({_GRAMS.format(id="item_id", words=_WORDS, table="eval_item")}),
-  leaks AS (SELECT DISTINCT doc_id, item_id FROM d JOIN t USING (gram))"""
+  leaks AS (SELECT doc_id, item_id, count(*) / any_value(n) AS containment FROM d JOIN (SELECT *, count(*) OVER (PARTITION BY item_id) AS n FROM t) USING (gram) GROUP BY 1, 2)"""
 _PARTS = r"""x AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
   y AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda w: w <> '') AS words, length(regexp_replace(text, '[ \t\r\n]+', '', 'g')) AS dense,
     length(regexp_replace(text, '[\p{L}\p{Nd} \t\r\n]', '', 'g')) AS symbols,
@@ -79,9 +88,25 @@ _PARTS = r"""x AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
     CASE WHEN len(words) > 0 THEN len(list_filter(words, lambda w: list_contains(common, lower(regexp_replace(w, '[^\p{L}]', '', 'g'))))) / len(words) END AS common_word_share
   FROM y, (SELECT list(DISTINCT word) AS common FROM common_word))"""
 
+_STATISTICS = _PARTS + r""",
+  p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n[ \t\r]*\n'), lambda l: trim(l, ' ' || chr(9) || chr(13) || chr(10))), lambda l: l <> '') AS paragraphs FROM x),
+  b AS (SELECT doc_id, pair, count(*) AS n FROM (SELECT doc_id, words[i] || ' ' || words[i + 1] AS pair FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 1)) AS i FROM y)) GROUP BY 1, 2),
+  bb AS (SELECT doc_id, max(n * (length(pair) - 1)) FILTER (n > 1) AS best FROM b GROUP BY 1),
+  s AS (SELECT z.*, CASE WHEN len(lines) > 0 THEN (len(lines) - len(list_distinct(lines))) / len(lines) END AS duplicate_line_share,
+    CASE WHEN len(paragraphs) > 0 THEN (len(paragraphs) - len(list_distinct(paragraphs))) / len(paragraphs) END AS duplicate_paragraph_share,
+    CASE WHEN len(words) >= 2 THEN least(1.0::DOUBLE, coalesce(best, 0) / length(array_to_string(words, ''))) END AS top_bigram_share,
+    CASE WHEN len(lines) > 0 THEN len(list_filter(lines, lambda l: regexp_matches(l, '^([-*+•|]|\(?[0-9]{1,3}[.)])'))) / len(lines) END AS list_line_share
+  FROM z JOIN y USING (doc_id) JOIN p USING (doc_id) LEFT JOIN bb USING (doc_id))"""
+_FAULTS = """(CASE WHEN n_words = 0 THEN 5 ELSE (n_words < 30)::INT + (mean_word_length < 3 OR mean_word_length > 9)::INT + (symbol_ratio > 0.1::DOUBLE)::INT
+  + (line_end_share < 0.4::DOUBLE)::INT + (common_word_share < 0.2::DOUBLE)::INT END)"""
+
 SQL = {
     "p6_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM leaks",
-    "p6_items": f"WITH {_LEAKS} SELECT e.item_id, e.suite, e.split, count(l.doc_id) AS n_documents FROM eval_item e LEFT JOIN leaks l USING (item_id) GROUP BY 1, 2, 3",
-    "p8_found": f"""WITH {_PARTS} SELECT doc_id FROM z WHERE n_words = 0 OR (n_words < 30)::INT + (mean_word_length < 3 OR mean_word_length > 9)::INT
-  + (symbol_ratio > 0.1::DOUBLE)::INT + (line_end_share < 0.4::DOUBLE)::INT + (common_word_share < 0.2::DOUBLE)::INT >= 2""",
+    "p6_containment": f"WITH {_LEAKS} SELECT doc_id, item_id, containment FROM leaks",
+    "p6_items": f"WITH {_LEAKS} SELECT e.item_id, e.suite, e.split, count(l.doc_id) AS n_documents, coalesce(max(l.containment), 0) AS largest_containment FROM eval_item e LEFT JOIN leaks l USING (item_id) GROUP BY 1, 2, 3",
+    "p8_found": f"WITH {_PARTS} SELECT doc_id FROM z WHERE {_FAULTS} >= 2",
+    "p8_statistics": f"WITH {_STATISTICS} SELECT * FROM s",
+    "p8_classes": f"""WITH {_STATISTICS}, c AS (SELECT CASE WHEN n_words = 0 THEN 'junk' WHEN coalesce(list_line_share, 0) >= 0.5 OR {_FAULTS} >= 2 AND coalesce(list_line_share, 0) >= 1.0::DOUBLE / 3 THEN 'list'
+    WHEN coalesce(duplicate_line_share > 0.3::DOUBLE, FALSE) OR coalesce(duplicate_paragraph_share > 0.3::DOUBLE, FALSE) OR coalesce(top_bigram_share > 0.2::DOUBLE, FALSE) THEN 'boilerplate'
+    WHEN {_FAULTS} >= 2 THEN 'noise' ELSE 'prose' END AS text_class FROM s) SELECT text_class, count(*) AS n_documents FROM c GROUP BY 1""",
 }
