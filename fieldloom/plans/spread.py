@@ -9,3 +9,9 @@ def spread(df: DataFrame, by: str, factor: int = 4) -> DataFrame:
     """The rows of ``df`` over ``factor`` times as many tasks as its scan has, at least twice the cores; the number grows with the data."""
     tasks = max(factor * df.rdd.getNumPartitions(), 2 * df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(tasks, by)
+
+
+def spread_few(df: DataFrame, by: str) -> DataFrame:
+    """``df`` as it is if its scan keeps all cores busy, as any large table's does; else its rows over twice the cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, by)
