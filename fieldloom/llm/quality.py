@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.plans.spread import spread_few
+
 
 BLANK = "[ \\t\\r\\n]+"
 #: Up to so many common words become a set in the plan; more are joined.
@@ -49,7 +51,7 @@ def text_statistics(documents: DataFrame, common: DataFrame, doc_id: str = "doc_
     known = [r["w"] for r in vocabulary.limit(SET_WORDS + 1).collect()]
     joined = len(known) > SET_WORDS
     known = [] if joined else known
-    docs = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    docs = spread_few(documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")), "doc_id")
     filled = lambda t: F.filter(F.split(t, BLANK), lambda w: w != "")
     # a word without letters can't be a common one, so letters are sought in the whole text at once
     letters = filled(F.lower(F.regexp_replace("text", "[^\\p{L} \\t\\r\\n]+", "")))
@@ -77,6 +79,9 @@ def text_statistics(documents: DataFrame, common: DataFrame, doc_id: str = "doc_
         _top_bigram_share(F.col("words")).alias("top_bigram_share"),
         _share(listed.cast("double"), F.size(lines)).alias("list_line_share"),
     )
+    # a generator, as a filter on the statistics would else be computed from the text, once for each place in its condition
+    own = [F.col(c) for c in stats.columns if c != "doc_id"]
+    stats = stats.select("doc_id", F.inline(F.array(F.struct(*own))))
     if not joined:
         return stats
     # too many words for a set: count each document's common words by a join
