@@ -14,6 +14,8 @@ from fieldloom.operators.graph import edges_by_key, graph_links, graph_nodes, in
 from fieldloom.operators.impact import impact, with_entry_points, with_fields
 from fieldloom.operators.lineage import compare_schemas, diff_versions, field_links, trace
 from fieldloom.operators.extract import assembled_entry_points, classify_class, code_lines, methods, setter_edges, units
+from fieldloom.operators.leaves import java_leaves, xsd_elements, xsd_leaves
+from fieldloom.plans.scratch import Scratch
 from fieldloom.sinks.documents import linked_nodes, markdown_lines
 from fieldloom.sinks.snapshot import table_digest
 from fieldloom.sources import read_table
@@ -581,9 +583,34 @@ def x17_entry_points(spark: SparkSession, d: str) -> DataFrame:
     return assembled_entry_points(x09_setter_edges(spark, d))
 
 
+@query()
+def s09_xsd_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """Leaves of the XML schemas with their business keys."""
+    return xsd_leaves(Scratch(spark).cut(xsd_elements(read_table(spark, d, "source_file"))))
+
+
+@query()
+def s10_java_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """Fields that Java classes declare."""
+    return java_leaves(read_table(spark, d, "source_file"))
+
+
 # ---- documents
 
 
+@query(f"""WITH {E}, k AS (SELECT repo_id, pair_id, kind, count(*) AS n FROM e GROUP BY 1, 2, 3) SELECT repo_id, pair_id, sum(n)::BIGINT AS n_rows, list(struct_pack(kind := kind, n := n) ORDER BY kind) AS by_kind FROM k GROUP BY 1, 2""")
+def k13_manifests(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest of each pair: edges and edges per kind."""
+    n = facts.edges(spark, d, *PAIR, "kind").groupBy(*PAIR, "kind").agg(*total())
+    return n.groupBy(*PAIR).agg(F.sum("n").alias("n_rows"), F.array_sort(F.collect_list(F.struct("kind", "n"))).alias("by_kind"))  # at most one entry per kind
+
+
+@query()
+def k03_manifest_checksums(spark: SparkSession, d: str) -> DataFrame:
+    """The checksum of each pair's edges, whatever their order."""
+    return table_digest(facts.edges(spark, d, *PAIR, "kind", "file", "line", "source_field_id", "target_field_id"), *PAIR)
+
+
 @query(f"""WITH {E}, {M} SELECT m.repo_id, 'mapper:' || m.id AS node_id FROM m SEMI JOIN e ON e.mapper_id = m.id UNION ALL SELECT repo_id, 'edge:' || id FROM e""")
 def k07_linked_nodes(spark: SparkSession, d: str) -> DataFrame:
     """The nodes of the linked-data documents."""

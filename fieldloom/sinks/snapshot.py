@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def table_digest(df: DataFrame) -> DataFrame:
-    """One row, ``n_rows, digest``: of a table's rows in any order; a row that stands twice counts twice. Merged before the shuffle."""
+def table_digest(df: DataFrame, *keys: str) -> DataFrame:
+    """``n_rows, digest``, one row or one per ``keys``: of the rows in any order; a row that stands twice counts twice. Merged before the shuffle."""
     row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
-    parts = [F.conv(F.substring(F.sha2(row, 256), 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)").alias(f"h{i}") for i in range(4)]
-    sums = df.select(*parts).agg(F.count(F.lit(1)).alias("n_rows"), *[F.sum(f"h{i}").alias(f"h{i}") for i in range(4)])
-    return sums.select("n_rows", F.sha2(F.concat_ws(",", "n_rows", *[F.coalesce(F.col(f"h{i}"), F.lit(0)) for i in range(4)]), 256).alias("digest"))
+    parts = [F.conv(F.substring(F.col("_hash"), 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)").alias(f"_h{i}") for i in range(4)]
+    sums = df.select(*keys, F.sha2(row, 256).alias("_hash")).select(*keys, *parts)
+    sums = sums.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *[F.sum(f"_h{i}").alias(f"_h{i}") for i in range(4)])
+    return sums.select(*keys, "n_rows", F.sha2(F.concat_ws(",", "n_rows", *[F.coalesce(F.col(f"_h{i}"), F.lit(0)) for i in range(4)]), 256).alias("digest"))
 
 
 def write_snapshot(tables: dict[str, DataFrame], root: str, version: str = "1") -> str:

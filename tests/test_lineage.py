@@ -12,7 +12,9 @@ from fieldloom.operators.extract import assembled_entry_points, classify_value,
 from fieldloom.operators.facts import first_wins, insert_or_ignore, last_wins
 from fieldloom.operators.graph import edges_by_key, graph_links, graph_nodes, inverted_index, search, text_atoms, top_entry_points, unverifiable
 from fieldloom.operators.impact import impact
+from fieldloom.operators.leaves import java_leaves, xsd_elements, xsd_leaves
 from fieldloom.operators.lineage import diff_versions, trace
+from fieldloom.plans.scratch import Scratch
 from fieldloom.sinks.documents import write_pages
 from fieldloom.sinks.snapshot import current_snapshot, table_digest, write_snapshot
 from fieldloom.streaming.upsert import current_table, upsert_stream
@@ -177,6 +179,30 @@ def test_extraction(spark):
     assert rows(assembled_entry_points(edges).filter("file_id = 1"), "method", "n_edges", "n_resolved", "resolution_percent") == [("map", 7, 5, 71.43)]
 
 
+XSD = """<xs:schema xmlns:xs="u" xmlns:b="v"><xs:element name="Top"><xs:complexType><xs:sequence>
+<xs:element name="a" type="xs:string"/>
+<xs:element name="b"><xs:annotation><xs:appinfo><b:business-key> K &amp; L </b:business-key></xs:appinfo></xs:annotation><xs:complexType><xs:sequence>
+<xs:element name="c"/><xs:element name="a"><xs:annotation><xs:appinfo><b:business-key>M</b:business-key></xs:appinfo></xs:annotation></xs:element>
+</xs:sequence></xs:complexType></xs:element>
+<xs:element name="d"><xs:complexType><xs:sequence><xs:element name="e"/></xs:sequence></xs:complexType></xs:element>
+</xs:sequence></xs:complexType></xs:element></xs:schema>"""
+
+
+def test_xsd_leaves(spark):
+    df = spark.createDataFrame([(1, "a.xsd", XSD), (2, "b.xsd", XSD[:-3]), (3, "c.xsd", None), (4, "d.json", XSD)], "file_id long, file string, content string")
+    elements = Scratch(spark).cut(xsd_elements(df))
+    assert rows(xsd_leaves(elements)) == [(1, "a", None, "xs:string"), (1, "b", "K & L", None), (1, "b.a", "M", None), (1, "b.c", None, None), (1, "d.e", None, None)]
+
+
+def test_java_leaves(spark):
+    text = 'class A {\n  @Field(businessKey = "K")\n  @Other\n  private String a;\n  protected List<X> b = f();\n  // private int no;\n  @FieldIgnore public static final int[] C = {1};\n  int hidden;\n  public void m() {}\n}'
+    df = spark.createDataFrame([(1, "A.java", text), (2, "B.java", None)], "file_id long, file string, content string")
+    assert rows(java_leaves(df), "line", "path", "type", "business_key", "ignored") == [(4, "a", "String", "K", False), (5, "b", "List<X>", None, False)]
+    # an annotation before the visibility, in the same line, hides it
+    spaced = spark.createDataFrame([(1, "A.java", text.replace("@FieldIgnore public", "@FieldIgnore\n  public"))], "file_id long, file string, content string")
+    assert ("C", "int[]", True) in rows(java_leaves(spaced), "path", "type", "ignored")
+
+
 @pytest.mark.parametrize(
     ("value", "kind", "path"),
     [('"a"', "constant", None), ("-1L", "constant", None), ("new A()", "construction", None), ("a + b", "concat", None), ("a.getB() != null ? a.getB() : c", "expression", "b"), ("Util.of(a.getB())", "static_call", "b"), ("a.getB().toString()", "format", "b"), ("a.getB().getC()", "rename", "b.c"), ("a", "rename", None), ("f(a)", "expression", None), (None, "expression", None)],
