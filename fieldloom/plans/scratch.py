@@ -26,6 +26,7 @@ def shared_root(spark: SparkSession) -> str:
             base = "file://" + tempfile.mkdtemp(prefix="spark-fieldloom-")
         root = f"{base.rstrip('/')}/fieldloom-{context.applicationId}"
         path, files = _filesystem(spark, root)
+        files.mkdirs(path)
         files.deleteOnExit(path)
         _roots[context.applicationId] = root
     return _roots[context.applicationId]
@@ -43,7 +44,6 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_root(spark)}/{uuid.uuid4().hex}"
         self.count = 0
-        self.paths: dict[int, str] = {}
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and give the written table."""
@@ -51,7 +51,6 @@ class Scratch:
         path = f"{self.root}/{self.count}"
         df.write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(table)] = path
         table._scratch_path = path
         return table
 
