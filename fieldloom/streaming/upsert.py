@@ -1,37 +1,51 @@
-"""A table of current facts kept up to date from a stream of deliveries."""
+"""A table of current facts kept up to date from a stream of deliveries, by batches that are merged when the table is read."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldloom.operators.facts import last_wins
 
 
 def upsert_stream(deliveries: DataFrame, target: str, key: str, order: str, checkpoint: str) -> StreamingQuery:
-    """Merge each batch of deliveries into the table at ``target``, last delivery per key winning; late ones never replace newer.
+    """Add each batch of deliveries to the table at ``target``, the last delivery per key and batch; late ones never replace newer.
 
-    Each batch writes a new version of the table, ``target/v=<batch>``, from the one before: running a batch again gives the same version,
-    so that the result doesn't change when a lost driver repeats it. Ends when the source is read up (``availableNow``).
+    A batch costs what it holds, whatever the size of the table. It is written under its number, so that a batch that runs again after a failure
+    replaces itself. Ends when the source is read up (``availableNow``).
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = current_table(spark, target, below=number)
-        every = batch if old is None else old.select(*batch.columns).unionByName(batch)
-        last_wins(every, key, order).select(*batch.columns).write.mode("overwrite").parquet(f"{target}/v={number}")
+    def add(batch: DataFrame, number: int) -> None:
+        last_wins(batch, key, order).select(*batch.columns).write.mode("overwrite").parquet(f"{target}/batch/v={number}")
 
-    return deliveries.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return deliveries.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_table(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
-    """The latest version, or the latest before version ``below``; None if there is none."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the finished versions in a folder."""
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    path = path_of(folder)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(path):
+        return []
+    found = [s.getPath() for s in files.listStatus(path)]
+    return sorted(int(p.getName()[2:]) for p in found if p.getName().startswith("v=") and files.exists(path_of(p, "_SUCCESS")))
+
+
+def current_table(spark: SparkSession, target: str, key: str, order: str) -> DataFrame | None:
+    """The facts as they stand: the last compacted version and all batches after it, the last delivery per key; None before the first batch."""
+    bases, batches = _versions(spark, f"{target}/base"), _versions(spark, f"{target}/batch")
+    base = bases[-1] if bases else -1
+    paths = [f"{target}/base/v={base}"] * (base >= 0) + [f"{target}/batch/v={n}" for n in batches if n > base]
+    if not paths:
         return None
-    whole = [s.getPath() for s in files.listStatus(path) if s.getPath().getName().startswith("v=") and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    versions = sorted(int(p.getName()[2:]) for p in whole)
-    versions = [v for v in versions if below is None or v < below]
-    return spark.read.parquet(f"{target}/v={versions[-1]}") if versions else None
+    rows = spark.read.parquet(*paths)
+    return rows if len(paths) == 1 else last_wins(rows, key, order).select(*rows.columns)
+
+
+def compact(spark: SparkSession, target: str, key: str, order: str) -> None:
+    """Merge all batches so far into a version that later reads begin with; to be run now and then, as reads slow down with the number of batches."""
+    batches = _versions(spark, f"{target}/batch")
+    table = current_table(spark, target, key, order)
+    if table is not None and batches and batches[-1] not in _versions(spark, f"{target}/base"):
+        table.write.mode("overwrite").parquet(f"{target}/base/v={batches[-1]}")

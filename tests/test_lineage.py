@@ -17,7 +17,7 @@ from fieldloom.operators.lineage import diff_versions, trace
 from fieldloom.plans.scratch import Scratch
 from fieldloom.sinks.documents import write_pages
 from fieldloom.sinks.snapshot import current_snapshot, table_digest, write_snapshot
-from fieldloom.streaming.upsert import current_table, upsert_stream
+from fieldloom.streaming.upsert import compact, current_table, upsert_stream
 
 
 def rows(df, *columns):
@@ -238,9 +238,14 @@ def test_stream_upsert(spark, tmp_path):
     schema = "id string, v long, seq long, at timestamp_ntz"
     source, target, checkpoint = (f"file://{tmp_path}/{x}" for x in ("in", "out", "cp"))
     at = dt.datetime(2024, 1, 1)
-    assert current_table(spark, target) is None
-    for batch in ([("a", 1, 1, at), ("b", 1, 2, at)], [("a", 3, 4, at), ("c", 1, 5, None)], [("a", 2, 3, at)]):
+    assert current_table(spark, target, "id", "seq") is None
+    for n, batch in enumerate(([("a", 1, 1, at), ("b", 1, 2, at), ("a", 0, 0, at)], [("a", 3, 4, at), ("c", 1, 5, None)], [("a", 2, 3, at)])):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         upsert_stream(stream, target, "id", "seq", checkpoint).awaitTermination(120)
-    assert rows(current_table(spark, target), "id", "v") == [("a", 3), ("b", 1), ("c", 1)]
+        if n == 1:
+            compact(spark, target, "id", "seq")
+    assert rows(current_table(spark, target, "id", "seq"), "id", "v") == [("a", 3), ("b", 1), ("c", 1)]
+    compact(spark, target, "id", "seq")
+    compact(spark, target, "id", "seq")
+    assert rows(current_table(spark, target, "id", "seq"), "id", "v") == [("a", 3), ("b", 1), ("c", 1)]
