@@ -69,8 +69,8 @@ def select_ranks(rows: DataFrame, targets: DataFrame, scratch: Scratch, bits: in
     def prefix(shift: int) -> Column:
         return F.lit(0).cast("long") if shift >= 64 else F.shiftrightunsigned("u", shift)
 
-    open_targets, done, shift, old = targets.select("g", F.lit(0).cast("long").alias("p"), "rank", F.col("rank").alias("r")), [], width, None
-    first = True
+    open_targets, done, shift = targets.select("g", F.lit(0).cast("long").alias("p"), "rank", F.col("rank").alias("r")), [], width
+    open_rows, first = 0, True
     while True:
         finer = max(0, shift - bits)
         if first:

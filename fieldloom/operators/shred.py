@@ -94,13 +94,9 @@ def schema_roles(adjacency: DataFrame, scratch: Scratch) -> DataFrame:
     current = scratch.cut(
         boxes.filter("parent IS NOT NULL").select("doc", "doc_key", "node", F.col("parent").alias("ptr"), *[_step(r).alias(r) for r in ROLES])
     )
-    root_at = F.lit(0)  # a document's first node
-    found = [start]
+    at_root = F.col("ptr") == 0  # a document's first node
     while True:
-        seen = F.col("schema")
-        done = current.filter((F.col("ptr") == root_at) & seen.isNotNull())
-        found.append(done.select("doc", "doc_key", "node", seen["role"].alias("role"), seen["suffix"].alias("prefix"), F.when(seen["lists"] < 0, -1 - seen["lists"]).otherwise(seen["lists"]).alias("lists")))
-        open_nodes = current.filter(F.col("ptr") != root_at)
+        open_nodes = current.filter(~at_root)
         if open_nodes.isEmpty():
             break
         up = current.select(F.col("doc").alias("up_doc"), F.col("node").alias("up_node"), F.col("ptr").alias("up_ptr"), *[F.col(r).alias(f"up_{r}") for r in ROLES])
@@ -108,12 +104,12 @@ def schema_roles(adjacency: DataFrame, scratch: Scratch) -> DataFrame:
         moved = joined.select("doc", "doc_key", "node", F.col("up_ptr").alias("ptr"), *[_after(r).alias(r) for r in ROLES])
         alive = moved.filter(" OR ".join(f"{r} IS NOT NULL" for r in ROLES))
         # rows that reached the root stay, as later pointers lead to them
-        current = scratch.cut(current.filter((F.col("ptr") == root_at) & seen.isNotNull()).unionByName(alive))
-        found = found[:1]
-    roles = found[0]
-    for more in found[1:]:
-        roles = roles.unionByName(more)
-    return roles
+        before, current = current, scratch.cut(current.filter(at_root & F.col("schema").isNotNull()).unionByName(alive))
+        scratch.drop(before)
+    seen = F.col("schema")
+    lists = F.when(seen["lists"] < 0, -1 - seen["lists"]).otherwise(seen["lists"])
+    done = current.filter(seen.isNotNull()).select("doc", "doc_key", "node", seen["role"].alias("role"), seen["suffix"].alias("prefix"), lists.alias("lists"))
+    return start.unionByName(done)
 
 
 def schema_properties(adjacency: DataFrame, scratch: Scratch) -> DataFrame:
