@@ -15,18 +15,39 @@ def field_links(edges: DataFrame) -> DataFrame:
     return links.select(F.col("source_field_id").alias("a"), F.col("target_field_id").alias("b")).distinct()
 
 
-def trace(links: DataFrame, seeds: DataFrame, max_depth: int = 6, upstream: bool = False) -> DataFrame:
+def key_links(edges: DataFrame, fields: DataFrame, upstream: bool = False) -> DataFrame:
+    """``key, to``: what the fields of a business key lead to, or with ``upstream`` what leads to them; each once. Links of a field to itself count here.
+
+    fields: ``id, business_key``, unique by id.
+    """
+    near, far = ("target_field_id", "source_field_id") if upstream else ("source_field_id", "target_field_id")
+    keyed = fields.filter("business_key IS NOT NULL").select(F.col("id").alias("_id"), F.col("business_key").alias("key"))
+    links = edges.filter("source_field_id IS NOT NULL AND target_field_id IS NOT NULL").select(F.col(near).alias("_near"), F.col(far).alias("to")).distinct()
+    return salted_join(links, keyed, [("_near", "_id")], ["to"], "inner").select("key", "to").distinct()
+
+
+def trace(links: DataFrame, seeds: DataFrame, max_depth: int = 6, upstream: bool = False, keys: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Fields reached from each seed: ``seed, field, depth``, the least number of links, 1 to ``max_depth``; with ``upstream``, against the links.
 
     seeds: column ``seed``. A field that leads back to its seed is reached too, at the depth of the shortest such way. Cycles end where nothing new is
     reached. Levels are written, so a lost executor costs one level at most.
+
+    keys: the fields (``id, business_key``) and what ``key_links`` gives for this direction. From a reached field the way then also goes on from all fields
+    of its business key; a seed starts from its own links only. Fields are joined with keys and keys with links, never fields with fields.
     """
     scratch = Scratch(links.sparkSession)
     step = scratch.cut(links.select(F.col("b" if upstream else "a").alias("_from"), F.col("a" if upstream else "b").alias("_to")))
+    if keys:
+        key_of = scratch.cut(keys[0].filter("business_key IS NOT NULL").select(F.col("id").alias("_id"), F.col("business_key").alias("_key")))
+        key_step = scratch.cut(keys[1].select(F.col("key").alias("_k"), F.col("to").alias("field")))
     frontier = seeds.filter("seed IS NOT NULL").select("seed", F.col("seed").alias("field")).distinct()
     reached: DataFrame | None = None
     for depth in range(1, max_depth + 1):
-        found = salted_join(frontier, step, [("field", "_from")], ["seed"], "inner").select("seed", F.col("_to").alias("field")).distinct()
+        found = salted_join(frontier, step, [("field", "_from")], ["seed"], "inner").select("seed", F.col("_to").alias("field"))
+        if keys and depth > 1:
+            own = salted_join(frontier, key_of, [("field", "_id")], ["seed"], "inner").select("seed", "_key").distinct()
+            found = found.unionByName(salted_join(own, key_step, [("_key", "_k")], ["seed"], "inner").select("seed", "field"))
+        found = found.distinct()
         if reached is not None:
             found = found.join(reached.select("seed", "field"), ["seed", "field"], "left_anti")
         new = scratch.cut(found.withColumn("depth", F.lit(depth)))

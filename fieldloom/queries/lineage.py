@@ -12,7 +12,7 @@ from fieldloom.operators.coverage import PAIR, declared_paths, drift, pair_cover
 from fieldloom.operators.facts import first_wins, insert_or_ignore
 from fieldloom.operators.graph import edges_by_key, graph_links, graph_nodes, inverted_index, search, text_atoms, top_entry_points, unverifiable
 from fieldloom.operators.impact import impact, with_entry_points, with_fields
-from fieldloom.operators.lineage import compare_schemas, diff_versions, field_links, trace
+from fieldloom.operators.lineage import compare_schemas, diff_versions, field_links, key_links, trace
 from fieldloom.operators.extract import assembled_entry_points, classify_class, code_lines, methods, setter_edges, units
 from fieldloom.operators.leaves import java_leaves, xsd_elements, xsd_leaves
 from fieldloom.plans.scratch import Scratch
@@ -412,7 +412,7 @@ _TRACE = """WITH RECURSIVE l AS (SELECT DISTINCT source_field_id AS a, target_fi
 
 @query(_TRACE.format(a="a", b="b"))
 def q14_trace_lineage_down(spark: SparkSession, d: str) -> DataFrame:
-    """Fields that depend on each origin, over up to four links."""
+    """Fields that depend on each origin, over up to four links; q14_lineage_both_ways takes all."""
     links = field_links(read_table(spark, d, "edges"))
     return trace(links, _seeds(spark, d, links, "a", "b"), max_depth=4)
 
@@ -431,6 +431,52 @@ def q15_impact_of_change(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("seed").agg(F.count(F.lit(1)).alias("n_fields"), F.max("depth").cast("long").alias("longest"), F.countDistinct(F.substring_index("field", "#", 1)).alias("n_schemas"))
 
 
+# The reference goes on while the depth of an edge is under 6, the first being at 0: seven links.
+LINKS_DEEP = 7
+_ALL_LINKS = "l0 AS (SELECT DISTINCT source_field_id AS a, target_field_id AS b FROM edges WHERE source_field_id IS NOT NULL AND target_field_id IS NOT NULL), l AS (SELECT * FROM l0 WHERE a <> b)"
+_WAY = """s{n} AS (SELECT DISTINCT {a} AS seed FROM l WHERE {a} NOT IN (SELECT {b} FROM l)),
+  t{n}(seed, field, depth) AS (SELECT seed, seed, 0 FROM s{n} UNION SELECT t.seed, l.{b}, t.depth + 1 FROM t{n} t JOIN l ON l.{a} = t.field WHERE t.depth < 7)"""
+_BOTH_WAYS = f"""WITH RECURSIVE {_ALL_LINKS}, {_WAY.format(n=1, a='a', b='b')}, {_WAY.format(n=2, a='b', b='a')},
+  x AS (SELECT 'down' AS direction, seed, field, min(depth) AS depth FROM t1 WHERE depth > 0 GROUP BY ALL UNION ALL SELECT 'up', seed, field, min(depth) FROM t2 WHERE depth > 0 GROUP BY ALL)"""
+
+
+@query(f"{_BOTH_WAYS} SELECT * FROM x")
+def q14_lineage_both_ways(spark: SparkSession, d: str) -> DataFrame:
+    """Fields that depend on each origin, and fields on which each final field depends, over all seven links of the reference."""
+    links = field_links(read_table(spark, d, "edges"))
+    down = trace(links, _seeds(spark, d, links, "a", "b"), LINKS_DEEP).select(F.lit("down").alias("direction"), "seed", "field", "depth")
+    up = trace(links, _seeds(spark, d, links, "b", "a"), LINKS_DEEP, upstream=True).select(F.lit("up").alias("direction"), "seed", "field", "depth")
+    return down.unionByName(up)
+
+
+@query(f"{_BOTH_WAYS} SELECT direction, seed, count(*) AS n_fields, max(depth) AS longest, count(DISTINCT split_part(field, '#', 1)) AS n_schemas FROM x GROUP BY 1, 2")
+def q15_impact_both_ways(spark: SparkSession, d: str) -> DataFrame:
+    """How far a change of each origin reaches, and how much each final field rests on."""
+    found = q14_lineage_both_ways(spark, d)
+    return found.groupBy("direction", "seed").agg(F.count(F.lit(1)).alias("n_fields"), F.max("depth").cast("long").alias("longest"), F.countDistinct(F.substring_index("field", "#", 1)).alias("n_schemas"))
+
+
+_KEY_WAY = """t{n}(seed, field, depth) AS (SELECT DISTINCT l.{a}, l.{b}, 1 FROM l WHERE split_part(l.{a}, '#', 1) = (SELECT min(split_part({a}, '#', 1)) FROM l)
+  UNION SELECT t.seed, h.b, t.depth + 1 FROM t{n} t JOIN h{n} h ON h.a = t.field WHERE t.depth < 7)"""
+_HOPS = """h{n} AS (SELECT {a} AS a, {b} AS b FROM l UNION SELECT x.id, l0.{b} FROM f x JOIN f y ON x.business_key = y.business_key JOIN l0 ON l0.{a} = y.id)"""
+
+
+@query(f"""WITH RECURSIVE {FI}, {_ALL_LINKS}, {_HOPS.format(n=1, a='a', b='b')}, {_HOPS.format(n=2, a='b', b='a')}, {_KEY_WAY.format(n=1, a='a', b='b')}, {_KEY_WAY.format(n=2, a='b', b='a')}
+  SELECT 'down' AS direction, seed, field, min(depth) AS depth FROM t1 GROUP BY ALL UNION ALL SELECT 'up', seed, field, min(depth) FROM t2 GROUP BY ALL""")
+def q14_lineage_by_key(spark: SparkSession, d: str) -> DataFrame:
+    """As the reference traces one change: from the fields of one schema, the first by name in each direction, going on from all fields of an equal business key."""
+    edges = read_table(spark, d, "edges")
+    links, keys = field_links(edges), facts.fields(spark, d, "business_key")
+    found = []
+    for direction, side, upstream in (("down", "a", False), ("up", "b", True)):
+        schema = F.substring_index(side, "#", 1)
+        first = links.agg(F.min(schema).alias("first"))
+        seeds = links.crossJoin(F.broadcast(first)).filter(schema == F.col("first")).select(F.col(side).alias("seed"))  # first is one row
+        reached = trace(links, seeds, LINKS_DEEP, upstream, (keys, key_links(edges, keys, upstream)))
+        found.append(reached.select(F.lit(direction).alias("direction"), "seed", "field", "depth"))
+    return found[0].unionByName(found[1])
+
+
 # ---- graph and search
 
 _TOP = f"{EP}, top AS (SELECT *, (SELECT count(*) FROM ep) > 200 AS truncated FROM ep ORDER BY edge_count DESC NULLS LAST, id LIMIT 200)"

@@ -13,8 +13,9 @@ from fieldloom.operators.facts import first_wins, insert_or_ignore, last_wins
 from fieldloom.operators.graph import edges_by_key, graph_links, graph_nodes, inverted_index, search, text_atoms, top_entry_points, unverifiable
 from fieldloom.operators.impact import impact
 from fieldloom.operators.leaves import java_leaves, xsd_elements, xsd_leaves
-from fieldloom.operators.lineage import diff_versions, trace
+from fieldloom.operators.lineage import diff_versions, field_links, key_links, trace
 from fieldloom.plans.scratch import Scratch
+from fieldloom.queries import lineage
 from fieldloom.sinks.documents import write_pages
 from fieldloom.sinks.snapshot import current_snapshot, table_digest, write_snapshot
 from fieldloom.streaming.upsert import compact, current_table, upsert_stream
@@ -87,6 +88,25 @@ def test_trace_equals_a_walk(spark):
     assert set(rows(trace(back, seeds, max_depth=4, upstream=True))) == expected
 
 
+def test_trace_goes_on_by_business_key(spark):
+    pairs = [("a", "b"), ("c", "d"), ("e", "e"), ("x", "b")]
+    edges = spark.createDataFrame([*pairs, (None, "d")], "source_field_id string, target_field_id string")
+    fields = spark.createDataFrame([("a", "S"), ("b", "K"), ("c", "K"), ("d", "L"), ("e", "L"), ("x", "S"), ("n", None)], "id string, business_key string")
+    seeds = spark.createDataFrame([("a",)], "seed string")
+    down = trace(field_links(edges), seeds, 7, keys=(fields, key_links(edges, fields)))
+    assert rows(down) == [("a", "b", 1), ("a", "d", 2), ("a", "e", 3)]  # not from x, which only shares the key of the seed
+    up = trace(field_links(edges), spark.createDataFrame([("d",)], "seed string"), 7, True, (fields, key_links(edges, fields, True)))
+    assert rows(up) == [("d", "a", 2), ("d", "c", 1), ("d", "x", 2)]
+
+
+def test_lineage_takes_chains_of_seven_links(spark, tmp_path):
+    schema = "source_field_id string, target_field_id string"
+    spark.createDataFrame([(f"s#{i}", f"s#{i + 1}") for i in range(9)], schema).write.parquet(f"{tmp_path}/edges.parquet")
+    found = rows(lineage.q14_lineage_both_ways(spark, str(tmp_path)))
+    assert found == sorted([("down", "s#0", f"s#{k}", k) for k in range(1, 8)] + [("up", "s#9", f"s#{9 - k}", k) for k in range(1, 8)], key=repr)
+    assert rows(lineage.q15_impact_both_ways(spark, str(tmp_path))) == [("down", "s#0", 7, 7, 1), ("up", "s#9", 7, 7, 1)]
+
+
 def test_diff_versions(spark):
     schema = "id string, v long"
     a, b = spark.createDataFrame([("a", 1), ("b", None), ("c", 3)], schema), spark.createDataFrame([("b", None), ("c", 4), ("d", 1)], schema)
