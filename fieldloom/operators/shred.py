@@ -135,3 +135,16 @@ def property_entities(adjacency: DataFrame, properties: DataFrame, members: list
     joined = properties.join(scalars, (F.col("doc") == F.col("d")) & (F.col("node") == F.col("p")), "left")
     wide = joined.groupBy("doc", "schema_id", "node", "path", "parent_path").pivot("member", members).agg(F.first("scalar"))
     return wide.drop("doc", "node")
+
+
+def property_members(adjacency: DataFrame, properties: DataFrame) -> DataFrame:
+    """The child table of the properties: ``schema_id, path, member, ordinal, kind, scalar``, a row per scalar member, whatever its label, and per element of a list.
+
+    ``ordinal`` counts a list's elements and is null for a scalar; an element that is itself a container has its kind and no scalar. Empty lists have no row.
+    """
+    nodes = adjacency.select(F.col("doc").alias("d"), F.col("parent").alias("p"), F.col("node").alias("n"), F.col("label").alias("member"), F.col("ordinal").alias("at"), F.col("kind").alias("k"), "scalar")
+    own = properties.select("doc", "schema_id", "path", "node").join(nodes.filter("member IS NOT NULL"), (F.col("doc") == F.col("d")) & (F.col("node") == F.col("p")))
+    scalars = own.filter("k NOT IN ('object', 'array')").select("schema_id", "path", "member", F.lit(None).cast("int").alias("ordinal"), F.col("k").alias("kind"), "scalar")
+    lists = own.filter("k = 'array'").select("schema_id", "path", F.col("member").alias("of"), F.col("doc").alias("list_doc"), F.col("n").alias("list"))
+    elements = lists.join(nodes.drop("member"), (F.col("list_doc") == F.col("d")) & (F.col("list") == F.col("p")))
+    return scalars.unionByName(elements.select("schema_id", "path", F.col("of").alias("member"), F.col("at").alias("ordinal"), F.col("k").alias("kind"), "scalar"))

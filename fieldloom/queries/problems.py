@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom.operators.components import group_keys, normal_key
 from fieldloom.operators.orphans import Child, Parent, find_orphans, orphan_report
 from fieldloom.operators.selection import hot_keys, per_key_quantiles, per_key_summary
-from fieldloom.operators.shred import property_entities, schema_properties, shred
+from fieldloom.operators.shred import property_entities, property_members, schema_properties, shred
 from fieldloom.plans.scratch import Scratch
 from fieldloom.sources import read_table
 
@@ -72,17 +72,28 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return schema_properties(adjacency, scratch).select("schema_id", "path", "parent_path").distinct()
 
 
+#: The scalar members that the schemas' properties carry, and those of the reference; lists, and any other member, are in p5_members.
+MEMBERS = ["type", "format", "description", "maxLength", "minItems", "items", "additionalProperties", "$ref", "x-atlas-business-key", "x-atlas-ignore"]
+
+
 def p5_entities(spark: SparkSession, d: str) -> DataFrame:
     """The properties with their scalar members, and whether the field is registered."""
     scratch = Scratch(spark)
     adjacency = scratch.cut(shred(read_table(spark, d, "schema_doc"), "schema_id", "body"))
-    entities = property_entities(adjacency, schema_properties(adjacency, scratch), ["type", "format", "description", "maxLength"]).distinct()
+    entities = property_entities(adjacency, schema_properties(adjacency, scratch), MEMBERS).distinct()
     fields = read_table(spark, d, "field").select(F.col("schema_id").alias("s"), F.col("path").alias("f")).distinct()
     joined = entities.join(fields, (F.col("schema_id") == F.col("s")) & (F.col("path") == F.col("f")), "left")
     return joined.withColumn("registered", F.col("f").isNotNull()).drop("s", "f")
 
 
-QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p2_found": p2_found, "p2_group_sizes": p2_group_sizes, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_entities": p5_entities}
+def p5_members(spark: SparkSession, d: str) -> DataFrame:
+    """All scalar members and list elements of the properties."""
+    scratch = Scratch(spark)
+    adjacency = scratch.cut(shred(read_table(spark, d, "schema_doc"), "schema_id", "body"))
+    return property_members(adjacency, schema_properties(adjacency, scratch)).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p2_found": p2_found, "p2_group_sizes": p2_group_sizes, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_entities": p5_entities, "p5_members": p5_members}
 
 _LONG_KEYS = """SELECT 'entry_point_id' AS key_name, entry_point_id AS key_value, target_field_id, ingested_at FROM edges WHERE entry_point_id IS NOT NULL
   UNION ALL SELECT 'mapper_id', mapper_id, target_field_id, ingested_at FROM edges WHERE mapper_id IS NOT NULL"""

@@ -4,8 +4,9 @@ import random
 import pytest
 
 from fieldloom.functions.jsontokens import nodes
-from fieldloom.operators.shred import property_entities, schema_properties, shred
+from fieldloom.operators.shred import property_entities, property_members, schema_properties, shred
 from fieldloom.plans.scratch import Scratch
+from fieldloom.queries import problems
 
 
 def brute(body):
@@ -77,6 +78,16 @@ def test_entities(spark):
     assert len(got) == 6 and {tuple(x)[1:] for x in got} == one
 
 
+def test_entities_keep_business_keys_and_lists(spark, tmp_path):
+    body = '{"properties": {"a": {"type": ["string", "null"], "x-atlas-business-key": "K", "x-atlas-ignore": true, "minItems": 2, "enum": ["x", {"y": 1}], "other": 5}}}'
+    spark.createDataFrame([("s", body)], "schema_id string, body string").write.parquet(f"{tmp_path}/schema_doc.parquet")
+    spark.createDataFrame([("s", "a")], "schema_id string, path string").write.parquet(f"{tmp_path}/field.parquet")
+    (row,) = problems.p5_entities(spark, str(tmp_path)).collect()
+    assert (row["x-atlas-business-key"], row["x-atlas-ignore"], row["minItems"], row["type"], row["registered"]) == ("K", "true", "2", None, True)
+    got = [(r["path"], r["member"], r["scalar"]) for r in problems.p5_members(spark, str(tmp_path)).orderBy("member", "ordinal").collect()]
+    assert got == [("a", "enum", "x"), ("a", "enum", None), ("a", "minItems", "2"), ("a", "other", "5"), ("a", "type", "string"), ("a", "type", "null"), ("a", "x-atlas-business-key", "K"), ("a", "x-atlas-ignore", "true")]
+
+
 @pytest.mark.parametrize(
     ("text", "valid"),
     [("{}", 1), (" [1, 2.5e-3, -0] ", 1), ('"a\\u00e9\\n"', 1), ("true", 1), ("[1 2]", 0), ("[01]", 0), ("[1.]", 0), ("[.5]", 0), ('{"a" 1}', 0), ("{1: 2}", 0), ("[1,]", 0), ('["a\tb"]', 0), ('"\\x"', 0), ("nul", 0), ("NaN", 0), ("", 0), (" ", 0), ("[]]", 0), ("[", 0), ("﻿{}", 0), ("'a'", 0), ("1 2", 0), ("[}", 0), ("\x0b1", 0), ('{"a":1,}', 0), ('{,}', 0), ("truefalse", 0), ("1a", 0), ("[-]", 0), ("[" * 5000 + "]" * 5000, 1)],
