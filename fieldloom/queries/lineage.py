@@ -483,26 +483,51 @@ _TOP = f"{EP}, top AS (SELECT *, (SELECT count(*) FROM ep) > 200 AS truncated FR
 _LINKS = f"{_TOP}, {E}, own AS (SELECT e.* FROM e SEMI JOIN top ON e.entry_point_id = top.id), li AS (SELECT source_field_id AS source, entry_point_id AS target, 'reads' AS kind FROM own WHERE source_field_id IS NOT NULL UNION SELECT entry_point_id, target_field_id, 'writes' FROM own WHERE target_field_id IS NOT NULL)"
 
 
-def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    top = top_entry_points(facts.entry_points(spark, d), 200)
+_NODES = """WITH {links}, {fields} SELECT id, 'entry_point' AS kind, string_split(class_fqn, '.')[-1] || '.' || method_name AS label, NULL AS schema_id FROM top
+  UNION ALL SELECT x.id, 'field', coalesce(f.path, x.id), f.schema_id FROM (SELECT source AS id FROM li WHERE kind = 'reads' UNION SELECT target FROM li WHERE kind = 'writes') x LEFT JOIN f ON x.id = f.id"""
+# the same over 2000, the reference's default
+_TOP_2000, _LINKS_2000 = (x.replace("> 200 ", "> 2000 ").replace("LIMIT 200)", "LIMIT 2000)") for x in (_TOP, _LINKS))
+
+
+def _graph(spark: SparkSession, d: str, limit: int = 2000) -> tuple[DataFrame, DataFrame]:
+    top = top_entry_points(facts.entry_points(spark, d), limit)
     return top, graph_links(facts.edges(spark, d, "entry_point_id", "source_field_id", "target_field_id"), top)
 
 
 @query(f"WITH {_TOP} SELECT id, edge_count, truncated FROM top")
 def o03_top_entry_points(spark: SparkSession, d: str) -> DataFrame:
     """The 200 entry points with the most edges."""
-    return _graph(spark, d)[0].select("id", "edge_count", "truncated")
+    return _graph(spark, d, 200)[0].select("id", "edge_count", "truncated")
 
 
 @query(f"WITH {_LINKS} SELECT * FROM li")
 def q09_graph_links(spark: SparkSession, d: str) -> DataFrame:
     """What they read and write."""
-    return _graph(spark, d)[1]
+    return _graph(spark, d, 200)[1]
 
 
 @query(f"""WITH {_LINKS}, {FI} SELECT id, 'entry_point' AS kind, string_split(class_fqn, '.')[-1] || '.' || method_name AS label, NULL AS schema_id FROM top
   UNION ALL SELECT x.id, 'field', coalesce(f.path, x.id), f.schema_id FROM (SELECT source AS id FROM li WHERE kind = 'reads' UNION SELECT target FROM li WHERE kind = 'writes') x LEFT JOIN f ON x.id = f.id""")
 def q09_graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes of that graph."""
+    top, links = _graph(spark, d, 200)
+    return graph_nodes(links, top, facts.fields(spark, d, "path", "schema_id"))
+
+
+@query(f"WITH {_TOP_2000} SELECT id, edge_count, truncated FROM top")
+def o03_top_2000_entry_points(spark: SparkSession, d: str) -> DataFrame:
+    """The 2000 entry points with the most edges."""
+    return _graph(spark, d)[0].select("id", "edge_count", "truncated")
+
+
+@query(f"WITH {_LINKS_2000} SELECT * FROM li")
+def q09_graph_2000_links(spark: SparkSession, d: str) -> DataFrame:
+    """What they read and write."""
+    return _graph(spark, d)[1]
+
+
+@query(_NODES.format(links=_LINKS_2000, fields=FI))
+def q09_graph_2000_nodes(spark: SparkSession, d: str) -> DataFrame:
     """The nodes of that graph."""
     top, links = _graph(spark, d)
     return graph_nodes(links, top, facts.fields(spark, d, "path", "schema_id"))

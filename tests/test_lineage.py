@@ -107,6 +107,15 @@ def test_lineage_takes_chains_of_seven_links(spark, tmp_path):
     assert rows(lineage.q15_impact_both_ways(spark, str(tmp_path))) == [("down", "s#0", 7, 7, 1), ("up", "s#9", 7, 7, 1)]
 
 
+def test_graph_takes_two_thousand_entry_points(spark, tmp_path):
+    columns = "'c.K' AS class_fqn, 'm' AS method_name, 's' AS method_signature, 1 AS line, current_timestamp() AS seen_at, 1.0D AS resolution_percent"
+    scope = "named_struct('country', 'DE', 'clearing', 'X', 'product', 'P') AS scope"
+    spark.range(2001).selectExpr("'p' || id AS id", "id AS edge_count", *columns.split(", "), scope).write.parquet(f"{tmp_path}/entry_point.parquet")
+    spark.range(1).selectExpr("'e' AS id", "'p7' AS entry_point_id", "'f' AS source_field_id", "'g' AS target_field_id", "1L AS ingest_seq").write.parquet(f"{tmp_path}/edges.parquet")
+    top = lineage.o03_top_2000_entry_points(spark, str(tmp_path)).collect()
+    assert {r["id"] for r in top} == {f"p{i}" for i in range(1, 2001)} and all(r["truncated"] for r in top)
+
+
 def test_diff_versions(spark):
     schema = "id string, v long"
     a, b = spark.createDataFrame([("a", 1), ("b", None), ("c", 3)], schema), spark.createDataFrame([("b", None), ("c", 4), ("d", 1)], schema)
