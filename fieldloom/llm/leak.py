@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions.arrays import let, windows
 from fieldloom.plans.scratch import Scratch
 from fieldloom.plans.skew import salted_join
-from fieldloom.plans.spread import spread_few
+from fieldloom.plans.spread import spread
 
 SHINGLE = 5
 #: Independent minima per signature: more of them mean fewer false candidates and more signatures per text.
@@ -55,7 +55,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, run: int = 12, doc_id: st
     if the candidates are too many to broadcast.
     """
     scratch = Scratch(documents.sparkSession)
-    docs = spread_few(documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("doc_text")), "doc_id")
+    docs = spread(documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("doc_text")), "doc_id")
     tests = items.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{text}`").alias("item_text"))
     few = scratch.cut(tests.select("item_id", F.explode(signatures(F.col("item_text"), run)).alias("item_signature")))
     many = docs.select("doc_id", F.explode(signatures(F.col("doc_text"), run)).alias("signature"))

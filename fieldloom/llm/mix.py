@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.plans.scratch import Scratch
-from fieldloom.plans.spread import spread_few
+from fieldloom.plans.spread import spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the tokenizer splits texts before its merges; fixed with the vocabulary.
@@ -92,7 +92,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     scratch = Scratch(documents.sparkSession)
     c = lambda x: F.col(f"`{x}`")
     texts = documents.select(c(doc_id).alias("doc_id"), plain_source(c("source")).alias("source"), c("text").alias("text"))
-    texts = spread_few(texts, "doc_id")
+    texts = spread(texts, "doc_id")
     sized = scratch.cut(with_tokens(texts, "text", "n_tokens", tokenizer).drop("text"))
     sizes = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_tokens").alias("n_tokens"))
     rates = scratch.cut(source_rates(sizes, targets, total_tokens))

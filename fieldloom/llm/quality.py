@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.plans.spread import spread_few
+from fieldloom.plans.spread import spread
 
 
 BLANK = "[ \\t\\r\\n]+"
@@ -51,7 +51,7 @@ def text_statistics(documents: DataFrame, common: DataFrame, doc_id: str = "doc_
     known = [r["w"] for r in vocabulary.limit(SET_WORDS + 1).collect()]
     joined = len(known) > SET_WORDS
     known = [] if joined else known
-    docs = spread_few(documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")), "doc_id")
+    docs = spread(documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")), "doc_id")
     filled = lambda t: F.filter(F.split(t, BLANK), lambda w: w != "")
     # a word without letters can't be a common one, so letters are sought in the whole text at once
     letters = filled(F.lower(F.regexp_replace("text", "[^\\p{L} \\t\\r\\n]+", "")))
