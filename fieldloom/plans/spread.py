@@ -13,7 +13,7 @@ def _bytes(text: str) -> int:
 def keeps_busy(df: DataFrame, cores: int) -> bool:
     """Whether a scan of ``df`` surely has a task with rows for every core: by the size that the plan states, or by its files; nothing is run for it."""
     spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     # a file's row groups are no smaller than a split unless its writer chose so; only the files of small tables are listed
     return size >= cores * _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) or len(df.inputFiles()) >= cores
 
