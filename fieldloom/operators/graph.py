@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.text import label
-from fieldloom.plans.skew import salted_join
+from fieldloom.plans.skew import Salts, salted_join
 
 
 def top_entry_points(entry_points: DataFrame, limit: int = 2000) -> DataFrame:
@@ -16,9 +16,13 @@ def top_entry_points(entry_points: DataFrame, limit: int = 2000) -> DataFrame:
     return top.crossJoin(F.broadcast(total)).withColumn("truncated", F.col("_total") > limit).drop("_total")  # total is one row
 
 
-def graph_links(edges: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``source, target, kind``: an entry point reads its edges' source fields and writes their targets; each link once."""
-    own = salted_join(edges, chosen.select(F.col("id").alias("_ep")), [("entry_point_id", "_ep")], ["id"], "left_semi")
+def graph_links(edges: DataFrame, chosen: DataFrame, delivered: DataFrame | None = None) -> DataFrame:
+    """``source, target, kind``: an entry point reads its edges' source fields and writes their targets; each link once.
+
+    delivered: the table that the edges come from, to see which entry points are hot.
+    """
+    salts = Salts(delivered, "entry_point_id") if delivered is not None else None
+    own = salted_join(edges, chosen.select(F.col("id").alias("_ep")), [("entry_point_id", "_ep")], ["id"], "left_semi", salts)
     read = F.struct(F.col("source_field_id").alias("source"), F.col("entry_point_id").alias("target"), F.lit("reads").alias("kind"))
     write = F.struct(F.col("entry_point_id").alias("source"), F.col("target_field_id").alias("target"), F.lit("writes").alias("kind"))
     return own.select(F.explode(F.array(read, write)).alias("l")).select("l.*").filter("source IS NOT NULL AND target IS NOT NULL").distinct()

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.plans.skew import hot_buckets, salt_few, salt_many
+from fieldloom.plans.skew import Salts
 
 
 @dataclass(frozen=True)
@@ -66,9 +66,9 @@ def find_orphans(parents: list[Parent], children: list[Child]) -> DataFrame:
     """
     marks = reduce(DataFrame.unionByName, [tagged_parents(p) for p in parents])
     refs = reduce(DataFrame.unionByName, [tagged_children(c) for c in children])
-    hot = hot_buckets(refs, "parent", "key")
-    marks = salt_few(marks, hot, ["parent", "key"]).withColumn("is_ref", F.lit(0))
-    refs = salt_many(refs, hot, ["parent", "key"], ["table_name", "column_name", "ingest_seq"]).withColumns({"is_ref": F.lit(1), "step": F.lit(0)})
+    salts = Salts(refs, "parent", "key")
+    marks = salts.few(marks, ["parent", "key"]).withColumn("is_ref", F.lit(0))
+    refs = salts.many(refs, ["parent", "key"], ["table_name", "column_name", "ingest_seq"]).withColumns({"is_ref": F.lit(1), "step": F.lit(0)})
     order = Window.partitionBy("parent", "key", "_salt").orderBy(F.col("time").asc_nulls_first(), "is_ref")
     alive = F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     united = refs.unionByName(marks, allowMissingColumns=True).withColumn("alive", alive)

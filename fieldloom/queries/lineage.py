@@ -102,7 +102,7 @@ def j02_edge_fields_schema(spark: SparkSession, d: str) -> DataFrame:
     """Edges with both fields, the target's schema and the entry point's country."""
     e = with_fields(facts.edges(spark, d, "source_field_id", "target_field_id", "entry_point_id"), facts.fields(spark, d, "schema_id", "path", "business_key"), "inner")
     known = e.join(facts.schemas(spark, d).select(F.col("id").alias("_s"), F.col("kind").alias("schema_kind")), F.col("target_schema") == F.col("_s"))
-    return with_entry_points(known, facts.entry_points(spark, d), "country").select("id", "source_path", "target_path", "schema_kind", "country")
+    return with_entry_points(known, facts.entry_points(spark, d), "country", delivered=read_table(spark, d, "edges")).select("id", "source_path", "target_path", "schema_kind", "country")
 
 
 @query(f"WITH {E}, {FI}, {M} SELECT m.repo_id, m.pair_id, f.path, count(*) AS n FROM e JOIN f ON e.target_field_id = f.id JOIN m ON e.mapper_id = m.id GROUP BY 1, 2, 3")
@@ -157,7 +157,7 @@ def _impact(spark: SparkSession, d: str) -> DataFrame:
     fields = facts.fields(spark, d, "schema_id", "path", "business_key")
     seeds = fields.filter("path IS NOT NULL AND schema_id IS NOT NULL").select("schema_id", F.substring_index("path", ".", 1).alias("path"))
     e = facts.edges(spark, d, "source_field_id", "target_field_id", "entry_point_id", "kind", "line", "browse_url")
-    return impact(e, fields, facts.entry_points(spark, d), seeds).select(*_IMPACT_COLUMNS)
+    return impact(e, fields, facts.entry_points(spark, d), seeds, read_table(spark, d, "edges")).select(*_IMPACT_COLUMNS)
 
 
 @query(f"WITH {_IMPACT} SELECT {', '.join(_IMPACT_COLUMNS)} FROM imp")
@@ -491,7 +491,7 @@ _TOP_2000, _LINKS_2000 = (x.replace("> 200 ", "> 2000 ").replace("LIMIT 200)", "
 
 def _graph(spark: SparkSession, d: str, limit: int = 2000) -> tuple[DataFrame, DataFrame]:
     top = top_entry_points(facts.entry_points(spark, d), limit)
-    return top, graph_links(facts.edges(spark, d, "entry_point_id", "source_field_id", "target_field_id"), top)
+    return top, graph_links(facts.edges(spark, d, "entry_point_id", "source_field_id", "target_field_id"), top, read_table(spark, d, "edges"))
 
 
 @query(f"WITH {_TOP} SELECT id, edge_count, truncated FROM top")

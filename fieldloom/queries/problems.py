@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.operators.components import group_keys, normal_key
 from fieldloom.operators.orphans import Child, Parent, find_orphans, orphan_report
 from fieldloom.operators.selection import hot_keys, per_key_quantiles, per_key_summary
 from fieldloom.operators.shred import property_entities, property_members, schema_properties, shred
@@ -29,20 +28,6 @@ def p1_profile(spark: SparkSession, d: str) -> DataFrame:
     return summary.join(quantiles, ["key_name", "key_value"], "left")
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """The group of every business key."""
-    edges = read_table(spark, d, "edges").select(normal_key(F.col("source_bk")).alias("a"), normal_key(F.col("target_bk")).alias("b"))
-    fields = read_table(spark, d, "field").select(normal_key(F.col("business_key")).alias("k"))
-    records = edges.select(F.explode(F.array("a", "b")).alias("k")).unionByName(fields)
-    return group_keys(records, edges)
-
-
-def p2_group_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """How many groups there are of each size."""
-    sizes = p2_found(spark, d).groupBy("group_key").agg(F.count(F.lit(1)).alias("n_keys"))
-    return sizes.groupBy("n_keys").agg(F.count(F.lit(1)).alias("n_groups"))
-
-
 def _references(spark: SparkSession, d: str) -> tuple[list[Parent], list[Child]]:
     edges, field = read_table(spark, d, "edges"), read_table(spark, d, "field")
     parents = [
@@ -93,7 +78,7 @@ def p5_members(spark: SparkSession, d: str) -> DataFrame:
     return property_members(adjacency, schema_properties(adjacency, scratch)).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p2_found": p2_found, "p2_group_sizes": p2_group_sizes, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_entities": p5_entities, "p5_members": p5_members}
+QUERIES = {"p1_found": p1_found, "p1_profile": p1_profile, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_entities": p5_entities, "p5_members": p5_members}
 
 _LONG_KEYS = """SELECT 'entry_point_id' AS key_name, entry_point_id AS key_value, target_field_id, ingested_at FROM edges WHERE entry_point_id IS NOT NULL
   UNION ALL SELECT 'mapper_id', mapper_id, target_field_id, ingested_at FROM edges WHERE mapper_id IS NOT NULL"""
@@ -108,14 +93,7 @@ _ORPHANS = f"""refs AS ({_REFS}), lives AS ({_LIVES}),
   met AS (SELECT DISTINCT r.table_name, r.column_name, r.ingest_seq FROM refs r JOIN lives l ON r.parent = l.parent AND r.ref = l.id AND l.seen_at <= r.at AND (l.deleted_at IS NULL OR l.deleted_at > r.at)),
   orphans AS (SELECT r.* FROM refs r ANTI JOIN met m USING (table_name, column_name, ingest_seq))"""
 
-_GROUPS = """WITH RECURSIVE k AS (SELECT lower(trim(source_bk, ' ' || chr(9) || chr(13) || chr(10))) AS a, lower(trim(target_bk, ' ' || chr(9) || chr(13) || chr(10))) AS b FROM edges),
-  l AS (SELECT a, b FROM k WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM k WHERE a IS NOT NULL AND b IS NOT NULL),
-  r AS (SELECT a AS x FROM k WHERE a IS NOT NULL UNION SELECT b FROM k WHERE b IS NOT NULL UNION SELECT lower(trim(business_key, ' ' || chr(9) || chr(13) || chr(10))) FROM field WHERE business_key IS NOT NULL),
-  t(x, y) AS (SELECT x, x FROM r UNION SELECT t.x, l.b FROM t JOIN l ON t.y = l.a), g AS (SELECT min(y) AS group_key, x AS business_key FROM t GROUP BY x)"""
-
 SQL = {
-    "p2_found": f"{_GROUPS} SELECT group_key, business_key FROM g",
-    "p2_group_sizes": f"{_GROUPS} SELECT n_keys, count(*) AS n_groups FROM (SELECT group_key, count(*) AS n_keys FROM g GROUP BY 1) GROUP BY 1",
     "p1_found": f"""WITH long AS ({_LONG_KEYS}) SELECT key_name, key_value FROM long GROUP BY 1, 2 HAVING count(*) >= 0.02 * (SELECT count(*) FROM edges)""",
     "p1_profile": f"""WITH long AS ({_LONG_KEYS}),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY key_name, key_value ORDER BY ingested_at) AS rn, count(ingested_at) OVER (PARTITION BY key_name, key_value) AS n FROM long)
