@@ -1,10 +1,11 @@
-"""The text problems over the lineage tables."""
+"""The problems of texts and groups over the lineage tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.llm.components import group_keys, normal_key
 from fieldloom.llm.leak import find_leaks, leak_report
 from fieldloom.llm.mix import mix
 from fieldloom.llm.quality import faults, text_class, text_statistics
@@ -13,6 +14,20 @@ from fieldloom.plans.scratch import Scratch
 from fieldloom.sources import read_table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The group of every business key."""
+    edges = read_table(spark, d, "edges").select(normal_key(F.col("source_bk")).alias("a"), normal_key(F.col("target_bk")).alias("b"))
+    fields = read_table(spark, d, "field").select(normal_key(F.col("business_key")).alias("k"))
+    records = edges.select(F.explode(F.array("a", "b")).alias("k")).unionByName(fields)
+    return group_keys(records, edges)
+
+
+def p2_group_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """How many groups there are of each size."""
+    sizes = p2_found(spark, d).groupBy("group_key").agg(F.count(F.lit(1)).alias("n_keys"))
+    return sizes.groupBy("n_keys").agg(F.count(F.lit(1)).alias("n_groups"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Source files that are not valid in their language."""
     return check_syntax(read_table(spark, d, "source_file")).filter("reason IS NOT NULL").select("file_id")
@@ -73,7 +88,7 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     return _statistics(spark, d).groupBy(text_class().alias("text_class")).agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_rates, p6_found, p6_containment, p6_items, p7_mix, p7_shares, p8_found, p8_statistics, p8_classes)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_group_sizes, p3_found, p3_rates, p6_found, p6_containment, p6_items, p7_mix, p7_shares, p8_found, p8_statistics, p8_classes)}
 
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')"
 _GRAMS = """SELECT DISTINCT {id}, array_to_string(w[i:i + 11], ' ') AS gram FROM (SELECT {id}, w, unnest(generate_series(1, len(w) - 11)) AS i FROM (SELECT {id}, {words} AS w FROM {table}))"""
@@ -100,7 +115,14 @@ _STATISTICS = _PARTS + r""",
 _FAULTS = """(CASE WHEN n_words = 0 THEN 5 ELSE (n_words < 30)::INT + (mean_word_length < 3 OR mean_word_length > 9)::INT + (symbol_ratio > 0.1::DOUBLE)::INT
   + (line_end_share < 0.4::DOUBLE)::INT + (common_word_share < 0.2::DOUBLE)::INT END)"""
 
+_GROUPS = """WITH RECURSIVE k AS (SELECT lower(trim(source_bk, ' ' || chr(9) || chr(13) || chr(10))) AS a, lower(trim(target_bk, ' ' || chr(9) || chr(13) || chr(10))) AS b FROM edges),
+  l AS (SELECT a, b FROM k WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM k WHERE a IS NOT NULL AND b IS NOT NULL),
+  r AS (SELECT a AS x FROM k WHERE a IS NOT NULL UNION SELECT b FROM k WHERE b IS NOT NULL UNION SELECT lower(trim(business_key, ' ' || chr(9) || chr(13) || chr(10))) FROM field WHERE business_key IS NOT NULL),
+  t(x, y) AS (SELECT x, x FROM r UNION SELECT t.x, l.b FROM t JOIN l ON t.y = l.a), g AS (SELECT min(y) AS group_key, x AS business_key FROM t GROUP BY x)"""
+
 SQL = {
+    "p2_found": f"{_GROUPS} SELECT group_key, business_key FROM g",
+    "p2_group_sizes": f"{_GROUPS} SELECT n_keys, count(*) AS n_groups FROM (SELECT group_key, count(*) AS n_keys FROM g GROUP BY 1) GROUP BY 1",
     "p6_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM leaks",
     "p6_containment": f"WITH {_LEAKS} SELECT doc_id, item_id, containment FROM leaks",
     "p6_items": f"WITH {_LEAKS} SELECT e.item_id, e.suite, e.split, count(l.doc_id) AS n_documents, coalesce(max(l.containment), 0) AS largest_containment FROM eval_item e LEFT JOIN leaks l USING (item_id) GROUP BY 1, 2, 3",
