@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.plans.scratch import Scratch
+from fieldloom.plans.skew import salted_join
 from fieldloom.plans.spread import spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -31,10 +34,12 @@ def _encoding(path: str):
 
 
 def with_tokens(df: DataFrame, text: str, name: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``df`` with the number of tokens of ``text``, 0 for null; strings that look like special tokens are plain text."""
+    """``df`` with the number of tokens of ``text``, 0 for null; strings that look like special tokens are plain text. The vocabulary file goes along to the executors."""
+    df.sparkSession.sparkContext.addFile(tokenizer)
+    name_of_file = Path(tokenizer).name
 
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoding = _encoding(tokenizer)
+        encoding = _encoding(SparkFiles.get(name_of_file))
         for texts in batches:
             yield pa.array([len(encoding.encode_ordinary(t)) if t else 0 for t in texts.to_pylist()], pa.int64())
 
@@ -47,10 +52,10 @@ def plain_source(source: Column) -> Column:
 
 
 def source_rates(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """How often each source is used: ``source, n_documents, n_tokens, target_share, max_repeats, rate``.
+    """How often each source is used: ``source, n_documents, n_tokens, target_share, aimed_share, max_repeats, rate``.
 
     sizes: ``source, n_documents, n_tokens``; targets: ``source, target_share, max_repeats``. Only sources with tokens can contribute; the shares
-    of the others are divided among them. The mix has ``total_tokens`` or, if that is None, as many as it can while every source still meets
+    of the others are divided among them, which is the share aimed at (null for those). The mix has ``total_tokens`` or, if that is None, as many as it can while every source still meets
     its share. A rate is the source's part of that over its tokens, at most ``max_repeats`` (null: 1; below 0: 0). A source without target
     has rate 0, as has one without tokens.
     """
@@ -68,12 +73,14 @@ def source_rates(sizes: DataFrame, targets: DataFrame, total_tokens: int | None
         F.when(usable, F.col("target_share")).alias("_share"),
         cap.alias("_cap"),
     )
-    everything = Window.partitionBy()  # one row per source
-    rows = rows.withColumn("_share", F.col("_share") / F.sum("_share").over(everything))
-    largest = F.min(F.when(F.col("_share").isNotNull(), F.col("_cap") * F.col("n_tokens") / F.col("_share"))).over(everything)
-    rows = rows.withColumn("_total", largest if total_tokens is None else F.lit(float(total_tokens)))
+    scratch = Scratch(sizes.sparkSession)
+    rows = scratch.cut(rows)
+    whole = rows.agg(F.sum("_share").alias("_whole"))  # one row, as is the next
+    rows = rows.crossJoin(F.broadcast(whole)).withColumn("_share", F.col("_share") / F.col("_whole")).drop("_whole")
+    largest = rows.agg(F.min(F.when(F.col("_share").isNotNull(), F.col("_cap") * F.col("n_tokens") / F.col("_share"))).alias("_total"))
+    rows = rows.crossJoin(F.broadcast(largest)) if total_tokens is None else rows.withColumn("_total", F.lit(float(total_tokens)))
     rate = F.when(F.col("_share").isNotNull(), F.least(F.col("_cap").cast("double"), F.col("_total") * F.col("_share") / F.col("n_tokens"))).otherwise(F.lit(0.0))
-    return rows.select("source", "n_documents", "n_tokens", "target_share", "max_repeats", rate.alias("rate"))
+    return rows.select("source", "n_documents", "n_tokens", "target_share", F.col("_share").alias("aimed_share"), "max_repeats", rate.alias("rate"))
 
 
 def copies(rate: Column, doc_id: Column, seed: int) -> Column:
@@ -86,7 +93,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     """The mixed documents and the report.
 
     The first has a row per copy, ``doc_id, source, n_tokens, copy`` (from 1); the same seed gives the same choice, whatever the order of the rows.
-    The second has, per source, ``source, n_documents, n_tokens, target_share, max_repeats, rate, mixed_copies, mixed_tokens, actual_share``; a null
+    The second has, per source, ``source, n_documents, n_tokens, target_share, aimed_share, max_repeats, rate, mixed_copies, mixed_tokens, actual_share``; a null
     source is listed, but never used. Documents with null or empty text have no tokens and are drawn like others of their source.
     """
     scratch = Scratch(documents.sparkSession)
@@ -97,13 +104,17 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     sizes = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_tokens").alias("n_tokens"))
     rates = scratch.cut(source_rates(sizes, targets, total_tokens))
     used = rates.filter("rate > 0").select(F.col("source").alias("s"), "rate")
-    used = F.broadcast(used) if used.count() <= BROADCAST_SOURCES else used
-    drawn = sized.join(used, F.col("source") == F.col("s")).withColumn("n_copies", copies(F.col("rate"), F.col("doc_id"), seed))
+    if used.count() <= BROADCAST_SOURCES:
+        rated = sized.join(F.broadcast(used), F.col("source") == F.col("s"))
+    else:
+        rated = salted_join(sized, used, [("source", "s")], ["doc_id"], "inner")
+    drawn = rated.withColumn("n_copies", copies(F.col("rate"), F.col("doc_id"), seed))
     drawn = drawn.filter("n_copies > 0")
     mixed = drawn.select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
     reached = drawn.groupBy(F.col("source").alias("m")).agg(F.sum("n_copies").alias("c"), F.sum(F.col("n_copies") * F.col("n_tokens")).alias("t"))
+    whole = drawn.agg(F.sum(F.col("n_copies") * F.col("n_tokens")).alias("_whole"))  # one row
     report = rates.join(reached, F.col("source") == F.col("m"), "left")
     zero = F.lit(0).cast("long")
     report = report.select(*rates.columns, F.coalesce("c", zero).alias("mixed_copies"), F.coalesce("t", zero).alias("mixed_tokens"))
-    whole = F.sum("mixed_tokens").over(Window.partitionBy())  # one row per source
-    return mixed, report.withColumn("actual_share", F.when(whole > 0, F.col("mixed_tokens") / whole))
+    share = F.when(F.col("_whole") > 0, F.col("mixed_tokens") / F.col("_whole"))
+    return mixed, report.crossJoin(F.broadcast(whole)).withColumn("actual_share", share).drop("_whole")

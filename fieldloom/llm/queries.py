@@ -45,13 +45,13 @@ def _leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that share at least 12 consecutive words with an evaluation item, with the item."""
-    return _leaks(spark, d).select("doc_id", "item_id")
+    """Documents that share at least 12 consecutive words with an evaluation item, with the item; shorter items aren't asked for here."""
+    return _leaks(spark, d).filter("run = 12").select("doc_id", "item_id")
 
 
 def p6_containment(spark: SparkSession, d: str) -> DataFrame:
     """How much of the item each of these documents holds."""
-    return _leaks(spark, d)
+    return _leaks(spark, d).filter("run = 12").select("doc_id", "item_id", "containment")
 
 
 def p6_items(spark: SparkSession, d: str) -> DataFrame:
@@ -105,11 +105,14 @@ _PARTS = r"""x AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 
 _STATISTICS = _PARTS + r""",
   p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n[ \t\r]*\n'), lambda l: trim(l, ' ' || chr(9) || chr(13) || chr(10))), lambda l: l <> '') AS paragraphs FROM x),
-  b AS (SELECT doc_id, pair, count(*) AS n FROM (SELECT doc_id, words[i] || ' ' || words[i + 1] AS pair FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 1)) AS i FROM y)) GROUP BY 1, 2),
-  bb AS (SELECT doc_id, max(n * (length(pair) - 1)) FILTER (n > 1) AS best FROM b GROUP BY 1),
+  b AS (SELECT doc_id, n, i, array_to_string(words[i:i + n - 1], ' ') AS gram, list_transform(words[i:i + n - 1], lambda w: length(w)) AS lens FROM (SELECT doc_id, words, n, unnest(generate_series(1, len(words) - n + 1)) AS i FROM y, (VALUES (2), (3), (4)) v(n))),
+  fr AS (SELECT doc_id, n, gram, list_sum(lens[n + 1 - least(n, i - coalesce(lag(i) OVER (PARTITION BY doc_id, n, gram ORDER BY i), -9)):n]) AS fresh FROM b),
+  bb AS (SELECT doc_id, max(covered) FILTER (n = 2) AS b2, max(covered) FILTER (n = 3) AS b3, max(covered) FILTER (n = 4) AS b4 FROM (SELECT doc_id, n, gram, sum(fresh) AS covered FROM fr GROUP BY 1, 2, 3 HAVING count(*) > 1) GROUP BY 1),
   s AS (SELECT z.*, CASE WHEN len(lines) > 0 THEN (len(lines) - len(list_distinct(lines))) / len(lines) END AS duplicate_line_share,
     CASE WHEN len(paragraphs) > 0 THEN (len(paragraphs) - len(list_distinct(paragraphs))) / len(paragraphs) END AS duplicate_paragraph_share,
-    CASE WHEN len(words) >= 2 THEN least(1.0::DOUBLE, coalesce(best, 0) / length(array_to_string(words, ''))) END AS top_bigram_share,
+    CASE WHEN len(words) >= 2 THEN (coalesce(b2, 0) / length(array_to_string(words, '')))::DOUBLE END AS top_bigram_share,
+    CASE WHEN len(words) >= 2 THEN (coalesce(b3, 0) / length(array_to_string(words, '')))::DOUBLE END AS top_trigram_share,
+    CASE WHEN len(words) >= 2 THEN (coalesce(b4, 0) / length(array_to_string(words, '')))::DOUBLE END AS top_fourgram_share,
     CASE WHEN len(lines) > 0 THEN len(list_filter(lines, lambda l: regexp_matches(l, '^([-*+•|]|\(?[0-9]{1,3}[.)])'))) / len(lines) END AS list_line_share
   FROM z JOIN y USING (doc_id) JOIN p USING (doc_id) LEFT JOIN bb USING (doc_id))"""
 _FAULTS = """(CASE WHEN n_words = 0 THEN 5 ELSE (n_words < 30)::INT + (mean_word_length < 3 OR mean_word_length > 9)::INT + (symbol_ratio > 0.1::DOUBLE)::INT
@@ -129,6 +132,6 @@ SQL = {
     "p8_found": f"WITH {_PARTS} SELECT doc_id FROM z WHERE {_FAULTS} >= 2",
     "p8_statistics": f"WITH {_STATISTICS} SELECT * FROM s",
     "p8_classes": f"""WITH {_STATISTICS}, c AS (SELECT CASE WHEN n_words = 0 THEN 'junk' WHEN coalesce(list_line_share, 0) >= 0.5 OR {_FAULTS} >= 2 AND coalesce(list_line_share, 0) >= 1.0::DOUBLE / 3 THEN 'list'
-    WHEN coalesce(duplicate_line_share > 0.3::DOUBLE, FALSE) OR coalesce(duplicate_paragraph_share > 0.3::DOUBLE, FALSE) OR coalesce(top_bigram_share > 0.2::DOUBLE, FALSE) THEN 'boilerplate'
+    WHEN coalesce(duplicate_line_share > 0.3::DOUBLE, FALSE) OR coalesce(duplicate_paragraph_share > 0.3::DOUBLE, FALSE) OR coalesce(top_bigram_share > 0.2::DOUBLE, FALSE) OR coalesce(greatest(top_trigram_share, top_fourgram_share) > 0.3::DOUBLE, FALSE) THEN 'boilerplate'
     WHEN {_FAULTS} >= 2 THEN 'noise' ELSE 'prose' END AS text_class FROM s) SELECT text_class, count(*) AS n_documents FROM c GROUP BY 1""",
 }

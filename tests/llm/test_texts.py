@@ -36,18 +36,20 @@ def test_leaks_equal_brute_force(spark, monkeypatch, limit):
         if len(w) >= 13:
             a = r.randint(0, len(w) - 12)
             docs.append((200 + i, f"{text(20)}, {' -- '.join(w[a : a + r.choice([11, 12, 13])]).upper()}; {text(15)}", "x"))
-    expected = {(d[0], i[0]) for d in docs for i in items if grams(d[1], 12) & grams(i[1], 12)}
-    assert len(expected) > 12
+    docs += [(300 + i, f"{text(7)} {words(items[i][1])and ' '.join(words(items[i][1]))} . {text(3)}", "x") for i in range(25)] + [(400, "so A, b; C!", "x")]
+    run = {i[0]: min(12, len(words(i[1]))) for i in items}
+    expected = {(d[0], i[0]) for d in docs for i in items if run[i[0]] and grams(d[1], run[i[0]]) & grams(i[1], run[i[0]])}
+    assert len(expected) > 12 and (400, 92) in expected and len(set(run.values())) > 4
     df, it = spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string, signature string")
     got = find_leaks(df, it).collect()
-    assert {tuple(x)[:2] for x in got} == expected and len(got) == len(expected)
+    assert {tuple(x)[:2] for x in got} == expected and len(got) == len(expected) and all(x["run"] == run[x["item_id"]] for x in got)
     texts, tests = {d[0]: d[1] for d in docs}, {i[0]: i[1] for i in items}
-    for doc, item, containment in got:
-        assert containment == len(grams(texts[doc], 12) & grams(tests[item], 12)) / len(grams(tests[item], 12))
+    for doc, item, n, containment in got:
+        assert containment == len(grams(texts[doc], n) & grams(tests[item], n)) / len(grams(tests[item], n))
     if limit:
-        named = it.select("item_id", F.lit("s").alias("suite"), F.lit("t").alias("split"))
+        named = it.select("item_id", "text", F.lit("s").alias("suite"), F.lit("t").alias("split"))
         counts = Counter(i for _, i in expected)
-        assert {x["item_id"]: x["n_documents"] for x in leak_report(find_leaks(df, it), named).collect()} == {i[0]: counts[i[0]] for i in items}
+        assert {x["item_id"]: x["n_documents"] for x in leak_report(find_leaks(df, it), named).collect()} == {i[0]: counts[i[0]] if run[i[0]] else None for i in items}
         assert find_leaks(df.limit(0), it).collect() == [] and find_leaks(df, it.limit(0)).collect() == []
 
 
@@ -71,6 +73,7 @@ def test_mix_equals_the_formula(spark):
     used = Counter(x["doc_id"] for x in got)
     for s in share:
         rate = total * share[s] / report[s]["n_tokens"]
+        assert report[s]["aimed_share"] == pytest.approx(share[s])
         assert report[s]["rate"] == pytest.approx(rate) and rate <= cap[s] + 1e-9
         for i, _, source, *_ in docs:
             if source is not None and source.strip().lower() == s:
@@ -114,8 +117,13 @@ def reference_statistics(text, common):
     out["common_word_share"] = div(sum("".join(c for c in x if c.isalpha()).lower() in common for x in w), len(w))
     out["duplicate_line_share"] = div(len(lines) - len(set(lines)), len(lines))
     out["duplicate_paragraph_share"] = div(len(paragraphs) - len(set(paragraphs)), len(paragraphs))
-    pairs = Counter(f"{a} {b}" for a, b in zip(w, w[1:]))
-    out["top_bigram_share"] = min(1.0, max([n * (len(p) - 1) for p, n in pairs.items() if n > 1] or [0]) / sum(map(len, w))) if len(w) > 1 else None
+    covers = defaultdict(list)
+    for n in (2, 3, 4):
+        for i in range(len(w) - n + 1):
+            covers[tuple(w[i : i + n])].append(set(range(i, i + n)))
+    for n, name in quality.NGRAMS.items():
+        best = max([sum(len(w[i]) for i in set().union(*c)) for g, c in covers.items() if len(c) > 1 and len(g) == n] or [0])
+        out[name] = best / sum(map(len, w)) if len(w) > 1 else None
     return out
 
 
