@@ -47,9 +47,9 @@ def units(files: DataFrame) -> DataFrame:
 
 
 def classify_class(path: Column, content: Column) -> Column:
-    """The kind of a mapper class: generated code, a mapping interface, else one with setters."""
+    """The kind of a mapper class: generated code, a mapping interface, else one with setters; null for no content."""
     generated = path.contains("/target/generated-sources/")
-    return F.when(generated & content.rlike(r"@Generated\b"), "mapstruct-impl").when(content.rlike(r"@Mapper\b"), "mapstruct-interface").otherwise("setter")
+    return F.when(generated & content.rlike(r"@Generated\b"), "mapstruct-impl").when(content.rlike(r"@Mapper\b"), "mapstruct-interface").when(content.isNotNull(), "setter")
 
 
 def classify_value(value: Column) -> Column:

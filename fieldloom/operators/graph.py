@@ -55,18 +55,20 @@ def search(index: DataFrame, tokens: list[str]) -> DataFrame:
     return hits.filter(F.col("_m") == len(wanted)).drop("_m")
 
 
-#: Kinds of atoms in a text that can be checked against the facts, by pattern.
+#: Kinds of atoms in a text that can be checked against the facts, by pattern; fixed values, the edge's as functions.text.edge_id makes it.
 ATOMS = {
-    "edge": r"\b[a-z0-9-]+\.[a-z0-9_-]+\.e_[0-9a-f]{12}\b",
-    "path": r"\b[a-z][A-Za-z0-9_]*(?:\[\])?(?:\.[a-z][A-Za-z0-9_]*(?:\[\])?)+",
-    "class": r"\b[A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+\b",
-    "number": r"\b[0-9]+\b",
+    "edge_id": r"\b" + r"\.".join(["[a-z0-9-]+", "[a-z0-9_-]+", "e_[0-9a-f]{12}"]) + r"\b",
+    "mapper_fqn": r"\b(?:[a-z][a-z0-9_]*\.)+[A-Z][A-Za-z0-9_]+\b",
+    "file_path": r"\b(?:[\w-]+/)+[\w.-]+\.(?:java|json|xsd|yaml|md)\b",
+    "url": r"\bhttps?://\S+\b",
+    "sha": r"\b[0-9a-f]{7,40}\b",
+    "field_path": r"`([a-zA-Z_][\w.]*)`",
 }
 
 
 def text_atoms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, kind, atom``: the distinct atoms of each text. Null has none."""
-    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.expr(f"regexp_extract_all(`{text}`, r'{p}', 0)").alias("atoms")) for k, p in ATOMS.items()])
+    """``key, kind, atom``: the distinct atoms of each text; of a field path, what stands between the backquotes. Null has none."""
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(F.col(f"`{text}`"), F.lit(p), F.lit(int(k == "field_path"))).alias("atoms")) for k, p in ATOMS.items()])
     kinds = df.select(F.col(f"`{key}`").alias("key"), F.explode(found).alias("k"))
     return kinds.select("key", "k.kind", F.explode("k.atoms").alias("atom")).distinct()
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.functions.globs import ScopeRule, in_folder, matches_any, scope_of
+from fieldloom.functions.globs import ScopeRule, in_folder, indexed, matches_any, scope_of, with_generated
 from fieldloom.functions.text import decapitalised, display_source, edge_id, entry_point_id, label, manifest_edge_id, percent, plain_id, scope_name, short_filename
 from fieldloom.operators import facts
 from fieldloom.operators.coverage import PAIR, declared_paths, drift, pair_coverage, pair_targets, synthetic_edges, unmatched, written_paths
 from fieldloom.operators.facts import first_wins, insert_or_ignore
-from fieldloom.operators.graph import edges_by_key, graph_links, graph_nodes, inverted_index, search, text_atoms, top_entry_points, unverifiable
+from fieldloom.operators.graph import ATOMS, edges_by_key, graph_links, graph_nodes, inverted_index, search, text_atoms, top_entry_points, unverifiable
 from fieldloom.operators.impact import impact, with_entry_points, with_fields
 from fieldloom.operators.lineage import compare_schemas, diff_versions, field_links, key_links, trace
 from fieldloom.operators.extract import assembled_entry_points, classify_class, code_lines, methods, setter_edges, units
@@ -399,6 +399,10 @@ def q16_compare_models(spark: SparkSession, d: str) -> DataFrame:
     return compare_schemas(facts.fields(spark, d, "business_key", "path", "schema_id"), "LocalDomain", "Mt103")
 
 
+# The reference goes on while the depth of an edge is under 6, the first being at 0: seven links.
+LINKS_DEEP = 7
+
+
 def _seeds(spark: SparkSession, d: str, links: DataFrame, side: str, other: str) -> DataFrame:
     """Ends of the lineage: fields that lead somewhere, but to which nothing leads."""
     ends = links.select(F.col(side).alias("seed")).distinct()
@@ -406,22 +410,22 @@ def _seeds(spark: SparkSession, d: str, links: DataFrame, side: str, other: str)
 
 
 _TRACE = """WITH RECURSIVE l AS (SELECT DISTINCT source_field_id AS a, target_field_id AS b FROM edges WHERE source_field_id IS NOT NULL AND target_field_id IS NOT NULL AND source_field_id <> target_field_id),
-  t(seed, field, depth) AS (SELECT DISTINCT {a}, {a}, 0 FROM l WHERE {a} NOT IN (SELECT {b} FROM l) UNION SELECT t.seed, l.{b}, t.depth + 1 FROM t JOIN l ON l.{a} = t.field WHERE t.depth < 4)
+  t(seed, field, depth) AS (SELECT DISTINCT {a}, {a}, 0 FROM l WHERE {a} NOT IN (SELECT {b} FROM l) UNION SELECT t.seed, l.{b}, t.depth + 1 FROM t JOIN l ON l.{a} = t.field WHERE t.depth < 7)
   SELECT seed, field, min(depth) AS depth FROM t WHERE depth > 0 GROUP BY 1, 2"""
 
 
 @query(_TRACE.format(a="a", b="b"))
 def q14_trace_lineage_down(spark: SparkSession, d: str) -> DataFrame:
-    """Fields that depend on each origin, over up to four links; q14_lineage_both_ways takes all."""
-    links = field_links(read_table(spark, d, "edges"))
-    return trace(links, _seeds(spark, d, links, "a", "b"), max_depth=4)
+    """Fields that depend on each origin, over all seven links of the reference."""
+    links = Scratch(spark).cut(field_links(read_table(spark, d, "edges")))
+    return trace(links, _seeds(spark, d, links, "a", "b"), LINKS_DEEP)
 
 
 @query(_TRACE.format(a="b", b="a"))
 def q14_trace_lineage_up(spark: SparkSession, d: str) -> DataFrame:
-    """Fields on which each final field depends, over up to four links."""
-    links = field_links(read_table(spark, d, "edges"))
-    return trace(links, _seeds(spark, d, links, "b", "a"), max_depth=4, upstream=True)
+    """Fields on which each final field depends, over as many links."""
+    links = Scratch(spark).cut(field_links(read_table(spark, d, "edges")))
+    return trace(links, _seeds(spark, d, links, "b", "a"), LINKS_DEEP, upstream=True)
 
 
 @query(f"WITH x AS ({_TRACE.format(a='a', b='b')}) SELECT seed, count(*) AS n_fields, max(depth) AS longest, count(DISTINCT split_part(field, '#', 1)) AS n_schemas FROM x GROUP BY 1")
@@ -431,8 +435,6 @@ def q15_impact_of_change(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("seed").agg(F.count(F.lit(1)).alias("n_fields"), F.max("depth").cast("long").alias("longest"), F.countDistinct(F.substring_index("field", "#", 1)).alias("n_schemas"))
 
 
-# The reference goes on while the depth of an edge is under 6, the first being at 0: seven links.
-LINKS_DEEP = 7
 _ALL_LINKS = "l0 AS (SELECT DISTINCT source_field_id AS a, target_field_id AS b FROM edges WHERE source_field_id IS NOT NULL AND target_field_id IS NOT NULL), l AS (SELECT * FROM l0 WHERE a <> b)"
 _WAY = """s{n} AS (SELECT DISTINCT {a} AS seed FROM l WHERE {a} NOT IN (SELECT {b} FROM l)),
   t{n}(seed, field, depth) AS (SELECT seed, seed, 0 FROM s{n} UNION SELECT t.seed, l.{b}, t.depth + 1 FROM t{n} t JOIN l ON l.{a} = t.field WHERE t.depth < 7)"""
@@ -443,7 +445,7 @@ _BOTH_WAYS = f"""WITH RECURSIVE {_ALL_LINKS}, {_WAY.format(n=1, a='a', b='b')},
 @query(f"{_BOTH_WAYS} SELECT * FROM x")
 def q14_lineage_both_ways(spark: SparkSession, d: str) -> DataFrame:
     """Fields that depend on each origin, and fields on which each final field depends, over all seven links of the reference."""
-    links = field_links(read_table(spark, d, "edges"))
+    links = Scratch(spark).cut(field_links(read_table(spark, d, "edges")))
     down = trace(links, _seeds(spark, d, links, "a", "b"), LINKS_DEEP).select(F.lit("down").alias("direction"), "seed", "field", "depth")
     up = trace(links, _seeds(spark, d, links, "b", "a"), LINKS_DEEP, upstream=True).select(F.lit("up").alias("direction"), "seed", "field", "depth")
     return down.unionByName(up)
@@ -549,14 +551,21 @@ def q19_fts_search(spark: SparkSession, d: str) -> DataFrame:
     return search(inverted_index(read_table(spark, d, "documents"), "doc_id", "text"), ["iban", "mapper"])
 
 
-_ATOM = r"SELECT DISTINCT doc_id AS key, 'class' AS kind, unnest(regexp_extract_all(text, '\b[A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+\b')) AS atom FROM documents"
+_ATOMS = " UNION ALL ".join(f"SELECT doc_id AS key, '{kind}' AS kind, unnest(regexp_extract_all(text, '{pattern}', {1 if kind == 'field_path' else 0})) AS atom FROM documents" for kind, pattern in ATOMS.items())
 
 
-@query(f"WITH {M}, a AS ({_ATOM}) SELECT * FROM a ANTI JOIN (SELECT string_split(fqn, '.')[-1] AS atom FROM m) k USING (atom)")
+@query(rf"""WITH a AS (SELECT DISTINCT * FROM ({_ATOMS})), k AS (SELECT 'edge_id' AS kind, id AS atom FROM edges UNION ALL SELECT 'url', browse_url FROM edges UNION ALL SELECT 'sha', sha FROM edges
+  UNION ALL SELECT 'mapper_fqn', fqn FROM mapper UNION ALL SELECT 'file_path', regexp_replace(file, '^(\./)+', '') FROM source_file UNION ALL SELECT 'field_path', path FROM field)
+  SELECT * FROM a ANTI JOIN k USING (kind, atom)""")
 def q20_atom_unverifiable(spark: SparkSession, d: str) -> DataFrame:
-    """Class names in documents that no mapper has."""
-    atoms = text_atoms(read_table(spark, d, "documents"), "doc_id", "text").filter("kind = 'class'")
-    return unverifiable(atoms, facts.mappers(spark, d).select(F.lit("class").alias("kind"), F.substring_index("fqn", ".", -1).alias("atom")))
+    """What documents name of edges, classes, files, addresses, commits and fields that the facts don't have."""
+    edges, atom = read_table(spark, d, "edges"), lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("atom"))
+    own = edges.select(F.explode(F.array(atom("edge_id", F.col("id")), atom("url", F.col("browse_url")), atom("sha", F.col("sha")))).alias("a")).select("a.*")
+    mappers = read_table(spark, d, "mapper").select(F.lit("mapper_fqn").alias("kind"), F.col("fqn").alias("atom"))
+    files = read_table(spark, d, "source_file").select(F.lit("file_path").alias("kind"), F.regexp_replace("file", r"^(\./)+", "").alias("atom"))
+    paths = read_table(spark, d, "field").select(F.lit("field_path").alias("kind"), F.col("path").alias("atom"))
+    known = own.unionByName(mappers).unionByName(files).unionByName(paths)
+    return unverifiable(text_atoms(read_table(spark, d, "documents"), "doc_id", "text"), known)
 
 
 # ---- functions
@@ -598,8 +607,8 @@ def f11_labels(spark: SparkSession, d: str) -> DataFrame:
 SCOPE_RULES = [ScopeRule("**/mapper/common/**", scope={"product": "COMMON"}), ScopeRule("**/src/main/java/org/*/*/{clearing}/mapper/**"), ScopeRule("**", r"^(?P<country>[A-Z][a-z]+)[A-Z0-9].*\.(?:json|xsd)$")]
 
 
-@query(r"""SELECT file_id, CASE WHEN regexp_matches(file, '^(?:.*/)?mapper/common/.*$') THEN NULL WHEN regexp_matches(file, '^(?:.*/)?src/main/java/org/[^/]*/[^/]*/([^/]+)/mapper/.*$') THEN NULL WHEN regexp_matches(string_split(file, '/')[-1], '^([A-Z][a-z]+)[A-Z0-9].*\.(?:json|xsd)$') THEN upper(regexp_extract(string_split(file, '/')[-1], '^([A-Z][a-z]+)[A-Z0-9].*\.(?:json|xsd)$', 1)) END AS country,
-  CASE WHEN regexp_matches(file, '^(?:.*/)?mapper/common/.*$') THEN NULL WHEN regexp_matches(file, '^(?:.*/)?src/main/java/org/[^/]*/[^/]*/([^/]+)/mapper/.*$') THEN upper(regexp_extract(file, '^(?:.*/)?src/main/java/org/[^/]*/[^/]*/([^/]+)/mapper/.*$', 1)) END AS clearing, CASE WHEN regexp_matches(file, '^(?:.*/)?mapper/common/.*$') THEN 'COMMON' END AS product FROM source_file""")
+@query(r"""SELECT file_id, CASE WHEN regexp_matches(file, '^.*mapper/common/.*$') THEN NULL WHEN regexp_matches(file, '^.*src/main/java/org/[^/]*/[^/]*/([^/]+)/mapper/.*$') THEN NULL WHEN regexp_matches(string_split(file, '/')[-1], '^([A-Z][a-z]+)[A-Z0-9].*\.(?:json|xsd)$') THEN upper(regexp_extract(string_split(file, '/')[-1], '^([A-Z][a-z]+)[A-Z0-9].*\.(?:json|xsd)$', 1)) END AS country,
+  CASE WHEN regexp_matches(file, '^.*mapper/common/.*$') THEN NULL WHEN regexp_matches(file, '^.*src/main/java/org/[^/]*/[^/]*/([^/]+)/mapper/.*$') THEN upper(regexp_extract(file, '^.*src/main/java/org/[^/]*/[^/]*/([^/]+)/mapper/.*$', 1)) END AS clearing, CASE WHEN regexp_matches(file, '^.*mapper/common/.*$') THEN 'COMMON' END AS product FROM source_file""")
 def c01_scope_from_path(spark: SparkSession, d: str) -> DataFrame:
     """Scopes of files by their paths."""
     return read_table(spark, d, "source_file").select("file_id", scope_of(F.col("file"), SCOPE_RULES).alias("s")).select("file_id", "s.country", "s.clearing", "s.product")
@@ -616,13 +625,37 @@ def c03_normalise(spark: SparkSession, d: str) -> DataFrame:
 GLOBS = ["**/src/main/java/**", "**/target/generated-sources/**"]
 
 
-@query(r"SELECT repo_id, regexp_replace(file, '^(\./)+', '') AS path FROM source_file WHERE regexp_matches(file, '^.*\.java$') AND (regexp_matches(file, '^(?:.*/)?src/main/java/.*$') OR regexp_matches(file, '^(?:.*/)?target/generated-sources/.*$')) AND NOT regexp_matches('/' || file, '/(?:\.git|node_modules|build)/')")
+@query(r"SELECT repo_id, regexp_replace(file, '^(\./)+', '') AS path FROM source_file WHERE regexp_matches(file, '^.*\.java$') AND (regexp_matches(file, '^.*src/main/java/.*$') OR regexp_matches(file, '^.*target/generated-sources/.*$')) AND NOT regexp_matches('/' || file, '/(?:\.git|node_modules|build)/')")
 def s01_scan_java_files(spark: SparkSession, d: str) -> DataFrame:
     """Java files by globs, skipped folders left out; the content isn't read."""
     df = read_table(spark, d, "source_file").filter(F.col("file").endswith(".java") & matches_any(F.col("file"), GLOBS) & ~in_folder(F.col("file"), [".git", "node_modules", "build"]))
     return df.select("repo_id", F.regexp_replace("file", r"^(\./)+", "").alias("path"))
 
 
+_IN_INDEX = r"""file LIKE '%.java' AND NOT list_has_any(string_split(file, '/')[:-2], string_split('.git .idea .vscode .gradle .settings node_modules build out bin dist .next .nuxt .cache classes test-classes dependency site surefire-reports failsafe-reports', ' '))
+  AND NOT regexp_matches('/' || file, '/target/[^/]*/') OR file LIKE '%.java' AND regexp_matches('/' || file, '/target/(?:generated-sources|atlas)/')"""
+
+
+@query(f"SELECT file_id, file FROM source_file WHERE {_IN_INDEX}")
+def s03_index_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The Java files of an index of all sources; the content isn't read."""
+    return read_table(spark, d, "source_file").select("file_id", "file").filter(indexed(F.col("file")))
+
+
+@query(r"SELECT repo_id, file FROM source_file WHERE regexp_matches(file, '^[^/]*/src/main/java/.*mapper/.*[.]java$') OR regexp_matches(file, '^[^/]*/target/generated-sources/annotations/.*[^/]*[.]java$')")
+def s05_generated_globs(spark: SparkSession, d: str) -> DataFrame:
+    """Files of a glob below the main sources, which is extended to the generated ones."""
+    df = read_table(spark, d, "source_file").select("repo_id", "file")
+    return df.filter(matches_any(F.col("file"), with_generated(["*/src/main/java/**/mapper/**.java"])))
+
+
+@query(r"SELECT repo_id, file FROM source_file WHERE regexp_matches(file, '^.*[.]java$') AND NOT (regexp_matches(file, '^.*target/.*$') OR regexp_matches(file, '^[^/]*/src/main/java/.*Mapper[0-9][^/]*[.]java$'))")
+def s06_skip_globs(spark: SparkSession, d: str) -> DataFrame:
+    """Java files, those of some globs left out."""
+    df = read_table(spark, d, "source_file").select("repo_id", "file")
+    return df.filter(matches_any(F.col("file"), ["**/*.java"]) & ~matches_any(F.col("file"), ["**/target/**", "*/src/main/java/**Mapper{n}.java"]))
+
+
 @query()
 def x01_units(spark: SparkSession, d: str) -> DataFrame:
     """Package, type and imports of every Java file."""
@@ -630,7 +663,8 @@ def x01_units(spark: SparkSession, d: str) -> DataFrame:
     return u.select("file_id", "package", "class_name", F.size("imports").alias("n_imports"))
 
 
-@query()
+@query(r"""SELECT repo_id, CASE WHEN contains(file, '/target/generated-sources/') AND regexp_matches(content, '@Generated\b') THEN 'mapstruct-impl' WHEN regexp_matches(content, '@Mapper\b') THEN 'mapstruct-interface'
+  WHEN content IS NOT NULL THEN 'setter' END AS kind, count(*) AS n FROM source_file WHERE file LIKE '%.java' GROUP BY 1, 2""")
 def x06_classify_class(spark: SparkSession, d: str) -> DataFrame:
     """Mapper classes by kind."""
     return read_table(spark, d, "source_file").filter(F.col("file").endswith(".java")).groupBy("repo_id", classify_class(F.col("file"), F.col("content")).alias("kind")).agg(*total())
@@ -676,16 +710,25 @@ def k13_manifests(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy(*PAIR).agg(F.sum("n").alias("n_rows"), F.array_sort(F.collect_list(F.struct("kind", "n"))).alias("by_kind"))  # at most one entry per kind
 
 
-@query()
+_DIGEST = """SELECT {keys} count(*) AS n_rows, sha256(concat_ws(',', count(*), {sums})) AS digest FROM (SELECT *, sha256(to_json(struct_pack({columns}))::VARCHAR) AS h FROM {table}) {group}"""
+
+
+def _digest_sql(table: str, columns: str, keys: str = "") -> str:
+    parts = ", ".join(f"sum(('0x' || h[{1 + 15 * i}:{15 + 15 * i}])::BIGINT::HUGEINT)" for i in range(4))
+    return _DIGEST.format(table=table, keys=keys and keys + ",", sums=parts, group=keys and "GROUP BY " + keys, columns=", ".join(f"{c} := {c}" for c in sorted(columns.split())))
+
+
+@query(f"WITH {E} " + _digest_sql("e", "id repo_id pair_id kind file line source_field_id target_field_id", "repo_id, pair_id"))
 def k03_manifest_checksums(spark: SparkSession, d: str) -> DataFrame:
     """The checksum of each pair's edges, whatever their order."""
     return table_digest(facts.edges(spark, d, *PAIR, "kind", "file", "line", "source_field_id", "target_field_id"), *PAIR)
 
 
-@query(f"""WITH {E}, {M} SELECT m.repo_id, 'mapper:' || m.id AS node_id FROM m SEMI JOIN e ON e.mapper_id = m.id UNION ALL SELECT repo_id, 'edge:' || id FROM e""")
+@query(f"""WITH {E}, {M} SELECT m.repo_id, 'mapper:' || m.id AS node_id, to_json(struct_pack("@id" := 'mapper:' || m.id, "@type" := 'Mapper', kind := kind))::VARCHAR AS node FROM m SEMI JOIN e ON e.mapper_id = m.id
+  UNION ALL SELECT repo_id, 'edge:' || id, to_json(struct_pack("@id" := 'edge:' || id, "@type" := 'Edge', kind := kind, mapper := mapper_id, source := source_field_id, target := target_field_id))::VARCHAR FROM e""")
 def k07_linked_nodes(spark: SparkSession, d: str) -> DataFrame:
     """The nodes of the linked-data documents."""
-    return linked_nodes(facts.mappers(spark, d), facts.edges(spark, d, "repo_id", "mapper_id", "kind", "source_field_id", "target_field_id")).select("repo_id", "node_id")
+    return linked_nodes(facts.mappers(spark, d), facts.edges(spark, d, "repo_id", "mapper_id", "kind", "source_field_id", "target_field_id"))
 
 
 @query(f"""WITH {E}, {FI} SELECT e.mapper_id, e.line, e.id AS edge_id, '| ' || concat_ws(' | ', coalesce(t.path, e.target_field_id), coalesce(coalesce(s.path, CASE WHEN length({_FLAT}) > 60 THEN {_FLAT}[1:59] || '…' ELSE {_FLAT} END), ''), coalesce(e.kind, ''), coalesce('L' || e.line, '')) || ' |' AS markdown
@@ -696,7 +739,7 @@ def k04_markdown_mapper(spark: SparkSession, d: str) -> DataFrame:
     return markdown_lines(with_fields(e, facts.fields(spark, d, "schema_id", "path", "business_key")))
 
 
-@query()
+@query(f"WITH {E}, {FI} SELECT 'edge' AS table_name, * FROM ({_digest_sql('e', 'id kind source_field_id target_field_id line')}) UNION ALL SELECT 'field', * FROM ({_digest_sql('f', 'id schema_id path business_key')})")
 def k01_snapshot_digests(spark: SparkSession, d: str) -> DataFrame:
     """The digests that name a snapshot's content."""
     tables = {"edge": facts.edges(spark, d, "kind", "source_field_id", "target_field_id", "line"), "field": facts.fields(spark, d, "schema_id", "path", "business_key")}

@@ -9,12 +9,12 @@ from fieldloom.functions.text import display_source
 
 
 def linked_nodes(mappers: DataFrame, edges: DataFrame) -> DataFrame:
-    """``repo_id, node_id, node``: a JSON object with sorted members for each mapper that has edges and each edge."""
+    """``repo_id, node_id, node``: a JSON object with members in a fixed order, null where there is nothing, for each mapper that has edges and each edge."""
     active = mappers.join(edges.select(F.col("mapper_id").alias("_m")).distinct(), F.col("id") == F.col("_m"), "left_semi")
-    mapper = active.select("repo_id", F.concat(F.lit("mapper:"), "id").alias("node_id"), F.to_json(F.struct(F.concat(F.lit("mapper:"), "id").alias("@id"), F.lit("Mapper").alias("@type"), "kind")).alias("node"))
+    mapper = active.select("repo_id", F.concat(F.lit("mapper:"), "id").alias("node_id"), F.to_json(F.struct(F.concat(F.lit("mapper:"), "id").alias("@id"), F.lit("Mapper").alias("@type"), "kind"), {"ignoreNullFields": "false"}).alias("node"))
     edge = edges.select(
         "repo_id", F.concat(F.lit("edge:"), "id").alias("node_id"),
-        F.to_json(F.struct(F.concat(F.lit("edge:"), "id").alias("@id"), F.lit("Edge").alias("@type"), "kind", F.col("mapper_id").alias("mapper"), F.col("source_field_id").alias("source"), F.col("target_field_id").alias("target"))).alias("node"),
+        F.to_json(F.struct(F.concat(F.lit("edge:"), "id").alias("@id"), F.lit("Edge").alias("@type"), "kind", F.col("mapper_id").alias("mapper"), F.col("source_field_id").alias("source"), F.col("target_field_id").alias("target")), {"ignoreNullFields": "false"}).alias("node"),
     )
     return mapper.unionByName(edge)
 
