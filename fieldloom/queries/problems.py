@@ -93,7 +93,24 @@ _ORPHANS = f"""refs AS ({_REFS}), lives AS ({_LIVES}),
   met AS (SELECT DISTINCT r.table_name, r.column_name, r.ingest_seq FROM refs r JOIN lives l ON r.parent = l.parent AND r.ref = l.id AND l.seen_at <= r.at AND (l.deleted_at IS NULL OR l.deleted_at > r.at)),
   orphans AS (SELECT r.* FROM refs r ANTI JOIN met m USING (table_name, column_name, ingest_seq))"""
 
+_PROPERTIES = """WITH RECURSIVE s(schema_id, path, parent, base, node, named) AS (
+  SELECT schema_id, '', '', '', body::JSON, FALSE FROM schema_doc WHERE body IS NOT NULL AND json_valid(body) AND json_type(body) = 'OBJECT'
+  UNION ALL
+  SELECT s.schema_id, c.path, CASE WHEN c.named THEN s.base ELSE s.parent END, CASE WHEN c.named THEN c.path ELSE s.base END, c.node, c.named FROM s, LATERAL (
+    SELECT CASE WHEN s.path = '' THEN e.key ELSE s.path || '.' || e.key END AS path, e.value AS node, TRUE AS named FROM json_each(s.node, '$.properties') e WHERE json_type(s.node) = 'OBJECT' AND json_type(s.node, '$.properties') = 'OBJECT'
+    UNION ALL SELECT s.path || '[]', json_extract(s.node, '$.items'), FALSE WHERE json_type(s.node) = 'OBJECT' AND json_type(s.node, '$.items') = 'OBJECT'
+    UNION ALL SELECT s.path, e.value, FALSE FROM (VALUES ('$.allOf'), ('$.anyOf'), ('$.oneOf')) v(p), json_each(s.node, v.p) e WHERE json_type(s.node) = 'OBJECT' AND json_type(s.node, v.p) = 'ARRAY' AND json_type(e.value) = 'OBJECT') c),
+  p AS (SELECT schema_id, path, parent AS parent_path, node FROM s WHERE named)"""
+_KINDS = "CASE json_type({0}) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END"
+_SCALAR = "CASE WHEN json_type({0}) NOT IN ('OBJECT', 'ARRAY') THEN coalesce({0} ->> '$', 'null') END"
+_OWN = ", ".join(f"""CASE WHEN json_type(node, '$."{m}"') NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN json_extract_string(node, '$."{m}"') END AS "{m}\"""" for m in MEMBERS)
+
 SQL = {
+    "p5_found": f"{_PROPERTIES} SELECT DISTINCT schema_id, path, parent_path FROM p",
+    "p5_entities": f"""{_PROPERTIES}, f AS (SELECT DISTINCT schema_id, path FROM field) SELECT DISTINCT p.schema_id, p.path, parent_path, {_OWN}, f.path IS NOT NULL AS registered FROM p LEFT JOIN f ON p.schema_id = f.schema_id AND p.path = f.path""",
+    "p5_members": f"""{_PROPERTIES}, m AS (SELECT p.schema_id, p.path, e.key AS member, e.value AS v FROM p, json_each(p.node) e WHERE json_type(p.node) = 'OBJECT')
+  SELECT DISTINCT schema_id, path, member, NULL::INT AS ordinal, {_KINDS.format("v")} AS kind, {_SCALAR.format("v")} AS scalar FROM m WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY')
+  UNION SELECT m.schema_id, m.path, m.member, a.key::INT, {_KINDS.format("a.value")}, {_SCALAR.format("a.value")} FROM m, json_each(m.v) a WHERE json_type(m.v) = 'ARRAY'""",
     "p1_found": f"""WITH long AS ({_LONG_KEYS}) SELECT key_name, key_value FROM long GROUP BY 1, 2 HAVING count(*) >= 0.02 * (SELECT count(*) FROM edges)""",
     "p1_profile": f"""WITH long AS ({_LONG_KEYS}),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY key_name, key_value ORDER BY ingested_at) AS rn, count(ingested_at) OVER (PARTITION BY key_name, key_value) AS n FROM long)
