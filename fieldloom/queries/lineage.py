@@ -15,6 +15,7 @@ from fieldloom.operators.impact import impact, with_entry_points, with_fields
 from fieldloom.operators.lineage import compare_schemas, diff_versions, field_links, key_links, trace
 from fieldloom.operators.extract import assembled_entry_points, classify_class, code_lines, methods, setter_edges, units
 from fieldloom.operators.leaves import java_leaves, xsd_elements, xsd_leaves
+from fieldloom.operators.resolve import java_index, java_tree, setter_facts
 from fieldloom.plans.scratch import Scratch
 from fieldloom.sinks.documents import linked_nodes, markdown_lines
 from fieldloom.sinks.snapshot import table_digest
@@ -688,6 +689,36 @@ def x17_entry_points(spark: SparkSession, d: str) -> DataFrame:
     return assembled_entry_points(x09_setter_edges(spark, d))
 
 
+def _java(spark: SparkSession, d: str) -> tuple[DataFrame, Scratch]:
+    scratch = Scratch(spark)
+    return scratch.cut(java_tree(read_table(spark, d, "source_file"))), scratch
+
+
+@query()
+def x03_java_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The classes of the Java files with the number of their methods and fields."""
+    tree, _ = _java(spark, d)
+    index = java_index(tree)
+    members = index.methods.select("file_id", "class_node", F.lit(1).alias("m"), F.lit(0).alias("f")).unionByName(index.fields.select("file_id", "class_node", F.lit(0).alias("m"), F.lit(1).alias("f")))
+    counts = members.groupBy("file_id", "class_node").agg(F.sum("m").alias("n_methods"), F.sum("f").alias("n_fields"))
+    zero = F.lit(0).cast("long")
+    return index.classes.join(counts, ["file_id", "class_node"], "left").select("repo_id", "fqn", "file_id", "extends", F.coalesce("n_methods", zero).alias("n_methods"), F.coalesce("n_fields", zero).alias("n_fields"))
+
+
+@query()
+def x09_resolved_edges(spark: SparkSession, d: str) -> DataFrame:
+    """What Java methods set on their target and where it comes from, through locals, getters and helpers."""
+    return setter_facts(*_java(spark, d))
+
+
+@query()
+def r07_helper_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind of edge and of the outermost helper gone through: edges, resolved ones and the longest trail."""
+    found = setter_facts(*_java(spark, d))
+    last = F.when(F.size("trail") > 0, F.element_at("trail", -1)["kind"])
+    return found.groupBy("kind", last.alias("helper")).agg(F.count(F.lit(1)).alias("n_edges"), F.count("source_path").alias("n_resolved"), F.max(F.size("trail")).cast("long").alias("longest"))
+
+
 @query()
 def s09_xsd_leaves(spark: SparkSession, d: str) -> DataFrame:
     """Leaves of the XML schemas with their business keys."""
