@@ -10,30 +10,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators.extract import code_lines
+from fieldloom.plans.scratch import Scratch
 from fieldloom.plans.spread import spread
 
-_ARROW = pa.schema([("file_id", pa.int64()), ("node", pa.int32()), ("owner", pa.int32()), ("name", pa.string()), ("type", pa.string()), ("key", pa.string())])
-ELEMENTS = "file_id long, node int, owner int, name string, type string, key string"
+_ARROW = pa.schema([("file_id", pa.int64()), ("node", pa.int32()), ("owner", pa.int32()), ("tag", pa.string()), ("name", pa.string()), ("type", pa.string()), ("key", pa.string()), ("ignored", pa.bool_())])
+ELEMENTS = "file_id long, node int, owner int, tag string, name string, type string, key string, ignored boolean"
+_OUTSIDE = -1
 
 
 def _declarations(text: str) -> list[list]:
-    """(node, owner, name, type, key) of the element declarations of an XML schema; owner is the next declaration around."""
+    """(node, owner, tag, name, type, key, ignored) of the elements and the named complex types of an XML schema.
+
+    Those are at the top, or in the sequence of a complex type; owner is the element, or the named type, that this belongs to.
+    """
     found: list[list] = []
-    stack: list[int | None] = [None]  # the innermost declaration at each depth
+    stack: list[int | None] = [None]  # the declaration around, at each depth
     inside: list[str] = []
     parser = xml.parsers.expat.ParserCreate("utf-8")
 
     def begin(tag: str, attributes: dict[str, str]) -> None:
         inside.append(tag.rpartition(":")[2])
+        around, name = stack[-1], attributes.get("name")
         if inside[-1] == "element":
-            found.append([len(found), stack[-1], attributes.get("name"), attributes.get("type"), ""])
-            stack.append(len(found) - 1)
-        else:
-            stack.append(stack[-1])
+            member = inside[-3:] == ["complexType", "sequence", "element"] and around is not None and name
+            around = around if member or len(inside) == 2 else _OUTSIDE
+        elif not (inside[-1] == "complexType" and len(inside) == 2 and name):
+            stack.append(around)
+            return
+        if around == _OUTSIDE:
+            stack.append(_OUTSIDE)
+            return
+        found.append([len(found), around, inside[-1], name, attributes.get("type"), "", ""])
+        stack.append(len(found) - 1)
 
     def words(text: str) -> None:
-        if inside[-1] == "business-key" and stack[-1] is not None:
-            found[stack[-1]][4] += text
+        at = stack[-1]
+        if at is not None and at != _OUTSIDE and inside[-1] in ("business-key", "ignore") and "appinfo" in inside:
+            found[at][5 if inside[-1] == "business-key" else 6] += text
 
     def end(_: str) -> None:
         inside.pop()
@@ -44,45 +57,50 @@ def _declarations(text: str) -> list[list]:
         parser.Parse(text.encode("utf-8", "replace"), True)
     except xml.parsers.expat.ExpatError:
         return []
-    return found
+    return [[*row[:5], row[5].strip() or None, row[6].strip() in ("true", "1")] for row in found]
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-        rows = [(i, n, o, name, kind, key.strip() or None) for i, text in texts if text for n, o, name, kind, key in _declarations(text)]
+        rows = [(i, *row) for i, text in texts if text for row in _declarations(text)]
         columns = list(zip(*rows, strict=True)) or [()] * len(_ARROW)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW.types, strict=True)], schema=_ARROW)
 
 
 def xsd_elements(files: DataFrame) -> DataFrame:
-    """The element declarations of the XML schemas among the files: ``file_id, node, owner, name, type, key``; broken or null ones have none."""
+    """The declarations of the XML schemas among the files: ``file_id, node, owner, tag, name, type, key, ignored``; broken or null ones have none."""
     texts = files.filter(F.lower(F.substring_index("file", ".", -1)) == "xsd").select("file_id", "content")
     return spread(texts, "file_id").mapInArrow(_elements, ELEMENTS)
 
 
-def xsd_leaves(elements: DataFrame, max_depth: int = 20) -> DataFrame:
-    """``file_id, path, business_key, type``: the declarations below a top one, whose own name is left out, nested names joined by dots.
+def xsd_leaves(elements: DataFrame, scratch: Scratch) -> DataFrame:
+    """``file_id, path, business_key, ignored, type``: the elements below a top one, whose own name is left out, nested names joined by dots.
 
-    elements: what ``xsd_elements`` gives, written, as each level joins it with the one above. A declaration that has others below it is a leaf only if
-    it has a business key. Those deeper than ``max_depth`` are left out.
+    elements: what ``xsd_elements`` gives, written, as each level joins it with the one above, until none is left. An element has those of its own complex type below it
+    or, without one, those of the named type of its file that it refers to. One with a complex type is a leaf only if it has a business key or is ignored. A named type that
+    leads back to itself is entered once on each way.
     """
-    own = elements.select("file_id", "node", "owner", "name", "type", "key")
-    level = own.filter("owner IS NULL").select("file_id", "node", F.lit(None).cast("string").alias("path"))
-    leaves = None
-    for _ in range(max_depth):
-        above = level.select(F.col("file_id").alias("f"), F.col("node").alias("n"), F.col("path").alias("over"))
-        below = own.join(above, (F.col("file_id") == F.col("f")) & (F.col("owner") == F.col("n")))
-        below = below.select("file_id", "node", "key", "type", F.concat_ws(".", "over", "name").alias("path"))
-        if below.isEmpty():
-            break
-        leaves = below if leaves is None else leaves.unionByName(below)
-        level = below
-    if leaves is None:
-        return own.limit(0).select("file_id", F.col("name").alias("path"), F.col("key").alias("business_key"), "type")
-    inner = own.filter("owner IS NOT NULL").select(F.col("file_id").alias("f"), F.col("owner").alias("n")).distinct().withColumn("has_inner", F.lit(True))
-    marked = leaves.join(inner, (F.col("file_id") == F.col("f")) & (F.col("node") == F.col("n")), "left").filter("has_inner IS NULL OR key IS NOT NULL")
-    return marked.select("file_id", "path", F.col("key").alias("business_key"), "type")
+    own = elements.filter("tag = 'element'").select("file_id", "node", "owner", "name", "type", "key", "ignored")
+    kinds = elements.filter("tag = 'complexType'").groupBy("file_id", F.col("name").alias("_t")).agg(F.max("node").alias("_k")).withColumnRenamed("file_id", "_f")
+    inline = own.filter("owner IS NOT NULL").select(F.col("file_id").alias("_of"), F.col("owner").alias("_o")).distinct()
+    # where the members of an element stand: in itself or in the type it refers to
+    referred = own.join(kinds, (F.col("file_id") == F.col("_f")) & (F.substring_index("type", ":", -1) == F.col("_t")), "left").drop("_f", "_t")
+    holders = referred.join(inline, (F.col("file_id") == F.col("_of")) & (F.col("node") == F.col("_o")), "left")
+    holders = scratch.cut(holders.select("file_id", "node", "owner", "name", "type", "key", "ignored", F.coalesce("_o", "_k").alias("holder")))
+    level = scratch.cut(holders.filter("owner IS NULL").select("file_id", "holder", F.lit(None).cast("string").alias("path"), F.array("node").alias("seen")))
+    found = []
+    while not level.isEmpty():
+        above = level.select(F.col("file_id").alias("_f"), F.col("holder").alias("_h"), F.col("path").alias("over"), "seen")
+        below = holders.join(above, (F.col("file_id") == F.col("_f")) & (F.col("owner") == F.col("_h")) & ~F.array_contains("seen", F.col("node")))
+        level = scratch.cut(below.select("file_id", "key", "ignored", "type", "holder", F.concat_ws(".", "over", "name").alias("path"), F.array_append("seen", F.col("node")).alias("seen")))
+        found.append(level)
+    if not found:
+        return own.limit(0).select("file_id", F.col("name").alias("path"), F.col("key").alias("business_key"), "ignored", "type")
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    return rows.filter("holder IS NULL OR key IS NOT NULL OR ignored").select("file_id", "path", F.col("key").alias("business_key"), "ignored", "type")
 
 
 FIELD = r"^\s*(?:public|protected|private)\s+(?:(?:static|final|transient|volatile)\s+)*([A-Za-z_][\w.]*(?:<[^;=()]*>)?(?:\[\])*)\s+(\w+)\s*(?:=|;)"

@@ -722,7 +722,8 @@ def r07_helper_usage(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def s09_xsd_leaves(spark: SparkSession, d: str) -> DataFrame:
     """Leaves of the XML schemas with their business keys."""
-    return xsd_leaves(Scratch(spark).cut(xsd_elements(read_table(spark, d, "source_file"))))
+    scratch = Scratch(spark)
+    return xsd_leaves(scratch.cut(xsd_elements(read_table(spark, d, "source_file"))), scratch)
 
 
 @query()

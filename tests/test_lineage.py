@@ -227,10 +227,25 @@ XSD = """<xs:schema xmlns:xs="u" xmlns:b="v"><xs:element name="Top"><xs:complexT
 </xs:sequence></xs:complexType></xs:element></xs:schema>"""
 
 
+NAMED = """<xs:schema xmlns:xs="u" xmlns:b="v"><xs:element name="Top" type="t:TopType"/><xs:complexType name="TopType"><xs:sequence>
+<xs:element name="f20" type="xs:string"><xs:annotation><xs:appinfo><b:business-key>Ref</b:business-key></xs:appinfo></xs:annotation></xs:element>
+<xs:element name="f32" type="Amount"/><xs:element name="skip"><xs:annotation><xs:appinfo><b:ignore> true </b:ignore></xs:appinfo></xs:annotation></xs:element>
+<xs:element name="again" type="TopType"/><xs:element ref="x"/></xs:sequence></xs:complexType>
+<xs:complexType name="Amount"><xs:sequence><xs:element name="value"/></xs:sequence><xs:choice><xs:element name="no"/></xs:choice></xs:complexType></xs:schema>"""
+
+
 def test_xsd_leaves(spark):
-    df = spark.createDataFrame([(1, "a.xsd", XSD), (2, "b.xsd", XSD[:-3]), (3, "c.xsd", None), (4, "d.json", XSD)], "file_id long, file string, content string")
-    elements = Scratch(spark).cut(xsd_elements(df))
-    assert rows(xsd_leaves(elements)) == [(1, "a", None, "xs:string"), (1, "b", "K & L", None), (1, "b.a", "M", None), (1, "b.c", None, None), (1, "d.e", None, None)]
+    deep = "<s>" + "<element name='e'><complexType><sequence>" * 60 + "<element name='end'/>" + "</sequence></complexType></element>" * 60 + "</s>"
+    df = spark.createDataFrame([(1, "a.xsd", XSD), (2, "b.xsd", XSD[:-3]), (3, "c.xsd", None), (4, "d.json", XSD), (5, "e.xsd", NAMED), (6, "f.xsd", deep)], "file_id long, file string, content string")
+    scratch = Scratch(spark)
+    got = rows(xsd_leaves(scratch.cut(xsd_elements(df.filter("file_id < 6"))), scratch), "file_id", "path", "business_key", "ignored", "type")
+    assert got == [
+        (1, "a", None, False, "xs:string"), (1, "b", "K & L", False, None), (1, "b.a", "M", False, None), (1, "b.c", None, False, None), (1, "d.e", None, False, None),
+        (5, "again.f20", "Ref", False, "xs:string"), (5, "again.f32.value", None, False, None), (5, "again.skip", None, True, None),
+        (5, "f20", "Ref", False, "xs:string"), (5, "f32.value", None, False, None), (5, "skip", None, True, None),
+    ]
+    assert rows(xsd_leaves(scratch.cut(xsd_elements(df.filter("file_id = 6"))), scratch), "path") == [(".".join(["e"] * 59 + ["end"]),)]
+    assert xsd_leaves(scratch.cut(xsd_elements(df.limit(0))), scratch).collect() == []
 
 
 def test_java_leaves(spark):
