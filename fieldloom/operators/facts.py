@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from fieldloom.sources import read_table
 
 
+def _of_each_key(df: DataFrame, key: str, order: str, best: Column) -> DataFrame:
+    # the order is a number, so this aggregates by hash; the rows then follow by a semi-join on both, without being sorted or gathered by key
+    chosen = df.groupBy(F.col(key).alias("_key")).agg(best.alias("_chosen"))
+    return df.join(chosen, (F.col(order) == F.col("_chosen")) & F.col(key).eqNullSafe(F.col("_key")), "left_semi").select(key, *[c for c in df.columns if c != key])
+
+
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Of the rows of a key, the one with the greatest ``order``, which is unique; merged before the shuffle. Null keys are one key."""
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("row")).select(key, *[F.col(f"row.`{c}`").alias(c) for c in rest])
+    """Of the rows of a key, the one with the greatest ``order``, a number that no two of them share. Null keys are one key; a row without order is left out."""
+    return _of_each_key(df, key, order, F.max(order))
 
 
 def first_wins(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Of the rows of a key, the one with the least ``order``."""
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("row")).select(key, *[F.col(f"row.`{c}`").alias(c) for c in rest])
+    """Of the rows of a key, the one with the least ``order``, as above."""
+    return _of_each_key(df, key, order, F.min(order))
 
 
 def first_by(df: DataFrame, key: str, *order: Column) -> DataFrame:
