@@ -18,7 +18,7 @@ def keeps_busy(df: DataFrame, cores: int) -> bool:
     return size >= cores * _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) or len(df.inputFiles()) >= cores
 
 
-def spread(df: DataFrame, by: str, factor: int = 4) -> DataFrame:
+def spread(df: DataFrame, by: str, factor: int = 2) -> DataFrame:
     """``df`` as it is if its scan keeps all cores busy, as any large table's does; else its rows over ``factor`` times the cores.
 
     So no more than the largest split times the cores is ever shuffled for this, whatever the size of the table.
