@@ -32,14 +32,14 @@ def _top_ngram_shares(words: Column) -> Column:
 
     def best(numbers: Column, lengths: Column, n: int) -> Column:
         starts = F.when(F.size(numbers) > n, F.sequence(F.lit(1), F.size(numbers) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        runs = F.transform(starts, lambda i: F.struct(F.xxhash64(*[pick(numbers, i, k) for k in range(n)]).alias("run"), i.alias("at"), *[pick(lengths, i, k).alias(f"l{k}") for k in range(n)]))
+        runs = F.transform(starts, lambda i: F.struct(F.xxhash64(*[pick(numbers, i, k) for k in range(n)]).alias("run"), i.alias("at")))
         none = F.struct(F.lit(0).cast("long").alias("run"), F.lit(0).alias("at"), F.lit(0).alias("covered"), F.lit(0).alias("best"))
 
         def step(acc: Column, x: Column) -> Column:
             again = (acc["run"] == x["run"]) & (acc["at"] > 0)
             # the words that the occurrence before doesn't cover: the last of them
-            fresh = sum((F.when(x["at"] - acc["at"] >= n - k, x[f"l{k}"]).otherwise(0) for k in range(n)), F.lit(0))
-            whole = sum((x[f"l{k}"] for k in range(1, n)), x["l0"])
+            fresh = sum((F.when(x["at"] - acc["at"] >= n - k, pick(lengths, x["at"], k)).otherwise(0) for k in range(n)), F.lit(0))
+            whole = sum((pick(lengths, x["at"], k) for k in range(1, n)), pick(lengths, x["at"], 0))
             covered = F.when(again, acc["covered"] + fresh).otherwise(whole)
             return F.struct(x["run"].alias("run"), x["at"].alias("at"), covered.alias("covered"), F.when(again, F.greatest(acc["best"], covered)).otherwise(acc["best"]).alias("best"))
 
