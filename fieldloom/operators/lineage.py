@@ -1,7 +1,18 @@
-"""Lineage over several hops: level by level along the edges, each level a join and each reached field kept once."""
+"""Lineage over several hops: level by level along the edges, each reached field kept once per seed.
+
+A graph that fits into a worker is sent to all of them and walked there, seed by seed, so that no pair of seed and field is ever shuffled or written
+between; for any larger graph each level is a join. Both give the same rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +37,156 @@ def key_links(edges: DataFrame, fields: DataFrame, upstream: bool = False) -> Da
     return salted_join(links, keyed, [("_near", "_id")], ["to"], "inner").select("key", "to").distinct()
 
 
-def trace(links: DataFrame, seeds: DataFrame, max_depth: int = 6, upstream: bool = False, keys: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+#: A graph up to so many links, with names of so many bytes in all, is walked in the workers (some 40 bytes a link and field there, and the names).
+GRAPH_LINKS, GRAPH_BYTES = 8_000_000, 200_000_000
+#: In a walk: pairs of seed and field that are looked at together, links followed at once, and rows in a batch of the result.
+CELLS, STEP, ROWS = 1 << 24, 1 << 20, 50_000
+
+
+@dataclass
+class Graph:
+    """The fields in the order of their hashes, and per direction where each one's neighbours begin, and these."""
+
+    names: pa.StringArray
+    hashes: np.ndarray
+    down: tuple[np.ndarray, np.ndarray]
+    up: tuple[np.ndarray, np.ndarray]
+    schemas: np.ndarray
+
+    def codes(self, hashes: np.ndarray, names: pa.Array) -> np.ndarray:
+        """The numbers of those names that are fields of the graph."""
+        if not len(self.hashes):
+            return np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at[(self.hashes[at] == hashes) & pc.equal(self.names.take(pa.array(at)), names).to_numpy(zero_copy_only=False)]
+
+    def blocks(self, seeds: np.ndarray) -> Iterator[np.ndarray]:
+        """The seeds in parts that are walked together."""
+        size = max(1, CELLS // max(len(self.hashes), 1))
+        return (seeds[i : i + size] for i in range(0, len(seeds), size))
+
+    def walk(self, seeds: np.ndarray, max_depth: int, upstream: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """What is new at each depth from a block of seeds: depth, places of the seeds in the block, fields."""
+        begin, to = self.up if upstream else self.down
+        n = len(self.hashes)
+        seen = np.zeros(len(seeds) * n, np.int32)
+        level = np.arange(len(seeds), dtype=np.int64) * n + seeds
+        for depth in range(1, max_depth + 1):
+            new, done = [], 0
+            field = level % n
+            start, degree = begin[field], begin[field + 1] - begin[field]
+            ends = np.cumsum(degree)
+            while done < len(level):  # some links at once; a field with more of them is taken alone
+                before = int(ends[done - 1]) if done else 0
+                upto = max(done + 1, int(np.searchsorted(ends, before + STEP, "right")))
+                d = degree[done:upto]
+                place = np.arange(int(ends[upto - 1]) - before) + np.repeat(start[done:upto] - (ends[done:upto] - d - before), d)
+                pairs = np.repeat(level[done:upto] - field[done:upto], d) + to[place]
+                pairs = pairs[seen[pairs] == 0]
+                mark = np.arange(1, len(pairs) + 1, dtype=np.int32)
+                seen[pairs] = mark
+                new.append(pairs[seen[pairs] == mark])  # of equal pairs, one
+                done = upto
+            level = np.concatenate(new) if new else level[:0]
+            if not len(level):
+                return
+            yield depth, level // n, level % n
+
+
+def graph_of(links: DataFrame, scratch: Scratch) -> Broadcast[Graph] | bool:
+    """The graph of written links ``a, b`` (texts without nulls), sent to the workers; False if it is too large for that."""
+    if links.count() > GRAPH_LINKS:
+        return False
+    ids = scratch.cut(links.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    if (ids.agg(F.sum(F.octet_length("id"))).first()[0] or 0) > GRAPH_BYTES:
+        return False
+    for seed in range(3):
+        table = ids.select(_hash(seed, "id").alias("h"), "id").toArrow()
+        order = np.argsort(table["h"].to_numpy())
+        hashes = table["h"].to_numpy()[order]
+        if (hashes[1:] == hashes[:-1]).any():
+            continue  # two fields share a hash
+        names = pa.concat_arrays(table["id"].cast(pa.string()).chunks or [pa.array([], pa.string())]).take(pa.array(order))
+        del table
+        schemas = pc.list_element(pc.split_pattern(names, "#", max_splits=1), 0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        ends = links.select(_hash(seed, "a").alias("a"), _hash(seed, "b").alias("b")).toArrow()
+        a, b = (np.searchsorted(hashes, ends[c].to_numpy()).astype(np.int32) for c in ("a", "b"))
+        del ends
+        ways = [(np.concatenate([[0], np.cumsum(np.bincount(x, minlength=len(hashes)))]), y[np.argsort(x)]) for x, y in ((a, b), (b, a))]
+        sent = links.sparkSession.sparkContext.broadcast(Graph(names, hashes, *ways, schemas))
+        sent.seed = seed
+        return sent
+    return False
+
+
+def _hash(seed: int, column: str):
+    return F.xxhash64(F.lit(f"field {seed}"), column)
+
+
+def _walked(graph: Broadcast[Graph], seeds: DataFrame, max_depth: int, upstream: bool, schema: str, make: Callable[..., Iterator[pa.RecordBatch]]) -> DataFrame:
+    own = seeds.filter("seed IS NOT NULL").select(F.col("seed").cast("string").alias("seed")).distinct().select("seed", _hash(graph.seed, "seed").alias("h"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = graph.value
+            codes = g.codes(batch.column(1).to_numpy(), batch.column(0).cast(pa.string()))
+            for block in g.blocks(codes):
+                yield from make(g, block, g.walk(block, max_depth, upstream))
+
+    return own.repartition(16 * seeds.sparkSession.sparkContext.defaultParallelism, "seed").mapInArrow(walk, schema)
+
+
+def _pairs(g: Graph, seeds: np.ndarray, levels: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for depth, of, fields in levels:
+        for i in range(0, len(of), ROWS):
+            from_, to = (g.names.take(pa.array(x)) for x in (seeds[of[i : i + ROWS]], fields[i : i + ROWS]))
+            yield pa.RecordBatch.from_arrays([from_, to, pa.array(np.full(len(to), depth, np.int32))], ["seed", "field", "depth"])
+
+
+def _counts(g: Graph, seeds: np.ndarray, levels: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    width = int(g.schemas.max(initial=0)) + 1
+    n, longest, schemas = np.zeros(len(seeds), np.int64), np.zeros(len(seeds), np.int64), np.empty(0, np.int64)
+    for depth, of, fields in levels:
+        n += np.bincount(of, minlength=len(seeds))
+        longest[of] = depth
+        schemas = np.union1d(schemas, of * width + g.schemas[fields])
+    kept = n > 0  # a seed that leads nowhere has no row
+    counts = (n, longest, np.bincount(schemas // width, minlength=len(seeds)))
+    yield pa.RecordBatch.from_arrays([g.names.take(pa.array(seeds[kept])), *[pa.array(x[kept]) for x in counts]], ["seed", "n_fields", "longest", "n_schemas"])
+
+
+def reach(links: DataFrame, seeds: DataFrame, max_depth: int = 6, upstream: bool = False, graph: Broadcast[Graph] | bool | None = None) -> DataFrame:
+    """How much ``trace`` reaches from each seed: ``seed, n_fields, longest, n_schemas``, schemas by what stands before the # of a field; counted where it is walked.
+
+    graph: what ``graph_of`` gives for these links, if it is known already.
+    """
+    graph = _sent(links) if graph is None else graph
+    if graph:
+        return _walked(graph, seeds, max_depth, upstream, "seed string, n_fields long, longest long, n_schemas long", _counts)
+    found = _joined(links, seeds, max_depth, upstream, None)
+    return found.groupBy("seed").agg(F.count(F.lit(1)).alias("n_fields"), F.max("depth").cast("long").alias("longest"), F.countDistinct(F.substring_index("field", "#", 1)).alias("n_schemas"))
+
+
+def _sent(links: DataFrame) -> Broadcast[Graph] | bool:
+    scratch = Scratch(links.sparkSession)
+    return graph_of(scratch.cut(links.filter("a IS NOT NULL AND b IS NOT NULL").select(*[F.col(c).cast("string").alias(c) for c in "ab"])), scratch)
+
+
+def trace(links: DataFrame, seeds: DataFrame, max_depth: int = 6, upstream: bool = False, keys: tuple[DataFrame, DataFrame] | None = None, graph: Broadcast[Graph] | bool | None = None) -> DataFrame:
     """Fields reached from each seed: ``seed, field, depth``, the least number of links, 1 to ``max_depth``; with ``upstream``, against the links.
 
     seeds: column ``seed``. A field that leads back to its seed is reached too, at the depth of the shortest such way. Cycles end where nothing new is
-    reached. Levels are written, so a lost executor costs one level at most.
+    reached. graph: what ``graph_of`` gives for these links, if it is known already. Levels of joins are written, so a lost executor costs one level at most.
 
     keys: the fields (``id, business_key``) and what ``key_links`` gives for this direction. From a reached field the way then also goes on from all fields
     of its business key; a seed starts from its own links only. Fields are joined with keys and keys with links, never fields with fields.
     """
+    if not keys and (graph := _sent(links) if graph is None else graph):
+        return _walked(graph, seeds, max_depth, upstream, "seed string, field string, depth int", _pairs)
+    return _joined(links, seeds, max_depth, upstream, keys)
+
+
+def _joined(links: DataFrame, seeds: DataFrame, max_depth: int, upstream: bool, keys: tuple[DataFrame, DataFrame] | None) -> DataFrame:
     scratch = Scratch(links.sparkSession)
     step = scratch.cut(links.select(F.col("b" if upstream else "a").alias("_from"), F.col("a" if upstream else "b").alias("_to")))
     if keys:

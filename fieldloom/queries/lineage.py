@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ from fieldloom.operators.coverage import PAIR, declared_paths, drift, pair_cover
 from fieldloom.operators.facts import first_wins, insert_or_ignore
 from fieldloom.operators.graph import ATOMS, edges_by_key, graph_links, graph_nodes, inverted_index, search, text_atoms, top_entry_points, unverifiable
 from fieldloom.operators.impact import impact, with_entry_points, with_fields
-from fieldloom.operators.lineage import compare_schemas, diff_versions, field_links, key_links, trace
+from fieldloom.operators.lineage import compare_schemas, diff_versions, field_links, graph_of, key_links, trace
 from fieldloom.operators.extract import assembled_entry_points, classify_class, code_lines, methods, setter_edges, units
 from fieldloom.operators.leaves import java_leaves, xsd_elements, xsd_leaves
 from fieldloom.operators.resolve import java_index, java_tree, setter_facts
@@ -410,6 +413,19 @@ def _seeds(spark: SparkSession, d: str, links: DataFrame, side: str, other: str)
     return ends.join(links.select(F.col(other).alias("seed")).distinct(), "seed", "left_anti")
 
 
+def _graph_of_fields(spark: SparkSession, d: str) -> tuple[DataFrame, Broadcast | bool]:
+    scratch = Scratch(spark)
+    links = scratch.cut(field_links(read_table(spark, d, "edges")))
+    return links, graph_of(links, scratch)
+
+
+def _both_ways(spark: SparkSession, d: str, operator: Callable[..., DataFrame]) -> DataFrame:
+    links, graph = _graph_of_fields(spark, d)
+    down = operator(links, _seeds(spark, d, links, "a", "b"), LINKS_DEEP, graph=graph).select(F.lit("down").alias("direction"), "*")
+    up = operator(links, _seeds(spark, d, links, "b", "a"), LINKS_DEEP, upstream=True, graph=graph).select(F.lit("up").alias("direction"), "*")
+    return down.unionByName(up)
+
+
 _TRACE = """WITH RECURSIVE l AS (SELECT DISTINCT source_field_id AS a, target_field_id AS b FROM edges WHERE source_field_id IS NOT NULL AND target_field_id IS NOT NULL AND source_field_id <> target_field_id),
   t(seed, field, depth) AS (SELECT DISTINCT {a}, {a}, 0 FROM l WHERE {a} NOT IN (SELECT {b} FROM l) UNION SELECT t.seed, l.{b}, t.depth + 1 FROM t JOIN l ON l.{a} = t.field WHERE t.depth < 7)
   SELECT seed, field, min(depth) AS depth FROM t WHERE depth > 0 GROUP BY 1, 2"""
@@ -446,10 +462,7 @@ _BOTH_WAYS = f"""WITH RECURSIVE {_ALL_LINKS}, {_WAY.format(n=1, a='a', b='b')},
 @query(f"{_BOTH_WAYS} SELECT * FROM x")
 def q14_lineage_both_ways(spark: SparkSession, d: str) -> DataFrame:
     """Fields that depend on each origin, and fields on which each final field depends, over all seven links of the reference."""
-    links = Scratch(spark).cut(field_links(read_table(spark, d, "edges")))
-    down = trace(links, _seeds(spark, d, links, "a", "b"), LINKS_DEEP).select(F.lit("down").alias("direction"), "seed", "field", "depth")
-    up = trace(links, _seeds(spark, d, links, "b", "a"), LINKS_DEEP, upstream=True).select(F.lit("up").alias("direction"), "seed", "field", "depth")
-    return down.unionByName(up)
+    return _both_ways(spark, d, trace)
 
 
 @query(f"{_BOTH_WAYS} SELECT direction, seed, count(*) AS n_fields, max(depth) AS longest, count(DISTINCT split_part(field, '#', 1)) AS n_schemas FROM x GROUP BY 1, 2")

@@ -3,6 +3,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,8 +13,9 @@ from fieldloom.operators.extract import assembled_entry_points, classify_value,
 from fieldloom.operators.facts import first_wins, insert_or_ignore, last_wins
 from fieldloom.operators.graph import edges_by_key, graph_links, graph_nodes, inverted_index, search, text_atoms, top_entry_points, unverifiable
 from fieldloom.operators.impact import impact
+from fieldloom.operators import lineage as lineage_operator
 from fieldloom.operators.leaves import java_leaves, xsd_elements, xsd_leaves
-from fieldloom.operators.lineage import diff_versions, field_links, key_links, trace
+from fieldloom.operators.lineage import diff_versions, field_links, key_links, reach, trace
 from fieldloom.plans.scratch import Scratch
 from fieldloom.queries import lineage
 from fieldloom.sinks.documents import write_pages
@@ -88,6 +90,31 @@ def test_trace_equals_a_walk(spark):
     assert set(rows(trace(back, seeds, max_depth=4, upstream=True))) == expected
 
 
+def test_walk_equals_joins(spark, monkeypatch):
+    r = random.Random(5)
+    links = {(f"s{r.randint(0, 5)}#{r.randint(0, 20)}", f"s{r.randint(0, 5)}#{r.randint(0, 20)}") for _ in range(300)} | {("hub", f"h#{i}") for i in range(200)}
+    df = spark.createDataFrame(sorted(links), "a string, b string")
+    seeds = spark.createDataFrame([(f"s{i}#{j}",) for i in range(6) for j in range(5)] + [("hub",), ("gone",), (None,), ("hub",)], "seed string")
+    for upstream in (False, True):
+        walked, joined = ([rows(f(df, seeds, 5, upstream, graph=g)) for f in (trace, reach)] for g in (None, False))
+        assert walked == joined and all(walked)
+    monkeypatch.setattr(lineage_operator, "CELLS", 3)  # one seed at a time, few links at once
+    monkeypatch.setattr(lineage_operator, "STEP", 2)
+    graph = lineage_operator._sent(df).value
+    own = np.arange(len(graph.names))
+    names = graph.names.to_pylist()
+    got = [(names[block[s]], names[f], depth) for block in graph.blocks(own) for depth, of, to in graph.walk(block, 5, False) for s, f in zip(of, to, strict=True)]
+    assert sorted(got) == rows(trace(df, spark.createDataFrame([(x,) for x in names], "seed string"), 5, graph=False))
+    assert rows(trace(df.limit(0), seeds)) == rows(reach(df.limit(0), seeds)) == []
+
+
+def test_traces_shuffle_no_pairs(spark, tmp_path):
+    spark.createDataFrame([(f"s#{i}", f"s#{i + 1}") for i in range(9)], "source_field_id string, target_field_id string").write.parquet(f"{tmp_path}/edges.parquet")
+    for name in ("q14_lineage_both_ways",):
+        plan = lineage.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index("MapInArrow")] and "MapInArrow" in plan
+
+
 def test_trace_goes_on_by_business_key(spark):
     pairs = [("a", "b"), ("c", "d"), ("e", "e"), ("x", "b")]
     edges = spark.createDataFrame([*pairs, (None, "d")], "source_field_id string, target_field_id string")
