@@ -54,6 +54,22 @@ class Scratch:
         table._scratch_path = path
         return table
 
+    def group(self) -> str:
+        """The name of a new group of tables with equal columns."""
+        self.count += 1
+        return f"group-{self.count}"
+
+    def add(self, group: str, df: DataFrame) -> DataFrame:
+        """Write ``df`` as one more part of a group, and give that part."""
+        self.count += 1
+        path = f"{self.root}/{group}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def whole(self, group: str, like: DataFrame) -> DataFrame:
+        """All parts of a group so far, as one scan: a union's plan would grow with each round. like: any of them."""
+        return self.spark.read.schema(like.schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/{group}")
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables that nothing reads any more."""
         for table in tables:

@@ -69,6 +69,17 @@ def test_sources_through_helpers(spark):
     assert (got["same"]["source_type"], got["iban"]["source_type"], got["iban"]["line"], got["iban"]["class_fqn"]) == ("Other", "Src", 9, "p.mapper.Impl")
 
 
+def test_plans_stay_short_whatever_the_rounds(spark, monkeypatch):
+    calls = "".join(f" String f{i}(Src s) {{ return f{i + 1}(s); }}\n" for i in range(6))
+    deep = "public class Deep { Local map(Src src) { Local local = new Local(); local.setIban(f0(src)); return local; }\n" + calls + " String f6(Src s) { return s.getEnd(); } }"
+    scratch, scans = Scratch(spark), []
+    cut = Scratch.cut
+    monkeypatch.setattr(Scratch, "cut", lambda self, df: (scans.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size()), cut(self, df))[1])
+    tree = scratch.cut(java_tree(frame(spark, FILES | {"Deep": deep})))
+    got = {r["class_fqn"]: r["source_path"] for r in setter_facts(tree, scratch).filter("target_path = 'iban'").collect()}
+    assert (got["Deep"], got["p.mapper.Impl"], max(scans) <= 12) == ("end", "field50K.value", True), max(scans)
+
+
 def test_helpers_are_followed_as_told(spark):
     scratch = Scratch(spark)
     tree = scratch.cut(java_tree(frame(spark, FILES)))
