@@ -15,7 +15,7 @@ from fieldloom.operators.coverage import PAIR, declared_paths, drift, pair_cover
 from fieldloom.operators.facts import first_wins, insert_or_ignore
 from fieldloom.operators.graph import ATOMS, edges_by_key, graph_links, graph_nodes, inverted_index, search, text_atoms, top_entry_points, unverifiable
 from fieldloom.operators.impact import impact, with_entry_points, with_fields
-from fieldloom.operators.lineage import compare_schemas, diff_versions, field_links, graph_of, key_links, trace
+from fieldloom.operators.lineage import compare_schemas, diff_versions, field_links, graph_of, key_links, reach, trace
 from fieldloom.operators.extract import assembled_entry_points, classify_class, code_lines, methods, setter_edges, units
 from fieldloom.operators.leaves import java_leaves, xsd_elements, xsd_leaves
 from fieldloom.operators.resolve import java_index, java_tree, setter_facts
@@ -468,8 +468,7 @@ def q14_lineage_both_ways(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_BOTH_WAYS} SELECT direction, seed, count(*) AS n_fields, max(depth) AS longest, count(DISTINCT split_part(field, '#', 1)) AS n_schemas FROM x GROUP BY 1, 2")
 def q15_impact_both_ways(spark: SparkSession, d: str) -> DataFrame:
     """How far a change of each origin reaches, and how much each final field rests on."""
-    found = q14_lineage_both_ways(spark, d)
-    return found.groupBy("direction", "seed").agg(F.count(F.lit(1)).alias("n_fields"), F.max("depth").cast("long").alias("longest"), F.countDistinct(F.substring_index("field", "#", 1)).alias("n_schemas"))
+    return _both_ways(spark, d, reach)
 
 
 _KEY_WAY = """t{n}(seed, field, depth) AS (SELECT DISTINCT l.{a}, l.{b}, 1 FROM l WHERE split_part(l.{a}, '#', 1) = (SELECT min(split_part({a}, '#', 1)) FROM l)
