@@ -441,8 +441,8 @@ def q14_trace_lineage_down(spark: SparkSession, d: str) -> DataFrame:
 @query(_TRACE.format(a="b", b="a"))
 def q14_trace_lineage_up(spark: SparkSession, d: str) -> DataFrame:
     """Fields on which each final field depends, over as many links."""
-    links = Scratch(spark).cut(field_links(read_table(spark, d, "edges")))
-    return trace(links, _seeds(spark, d, links, "b", "a"), LINKS_DEEP, upstream=True)
+    links, graph = _graph_of_fields(spark, d)
+    return trace(links, _seeds(spark, d, links, "b", "a"), LINKS_DEEP, upstream=True, graph=graph)
 
 
 @query(f"WITH x AS ({_TRACE.format(a='a', b='b')}) SELECT seed, count(*) AS n_fields, max(depth) AS longest, count(DISTINCT split_part(field, '#', 1)) AS n_schemas FROM x GROUP BY 1")
