@@ -434,8 +434,8 @@ _TRACE = """WITH RECURSIVE l AS (SELECT DISTINCT source_field_id AS a, target_fi
 @query(_TRACE.format(a="a", b="b"))
 def q14_trace_lineage_down(spark: SparkSession, d: str) -> DataFrame:
     """Fields that depend on each origin, over all seven links of the reference."""
-    links = Scratch(spark).cut(field_links(read_table(spark, d, "edges")))
-    return trace(links, _seeds(spark, d, links, "a", "b"), LINKS_DEEP)
+    links, graph = _graph_of_fields(spark, d)
+    return trace(links, _seeds(spark, d, links, "a", "b"), LINKS_DEEP, graph=graph)
 
 
 @query(_TRACE.format(a="b", b="a"))

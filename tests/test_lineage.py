@@ -110,7 +110,7 @@ def test_walk_equals_joins(spark, monkeypatch):
 
 def test_traces_shuffle_no_pairs(spark, tmp_path):
     spark.createDataFrame([(f"s#{i}", f"s#{i + 1}") for i in range(9)], "source_field_id string, target_field_id string").write.parquet(f"{tmp_path}/edges.parquet")
-    for name in ("q14_lineage_both_ways", "q15_impact_both_ways", "q15_impact_of_change", "q14_trace_lineage_up"):
+    for name in ("q14_lineage_both_ways", "q15_impact_both_ways", "q15_impact_of_change", "q14_trace_lineage_up", "q14_trace_lineage_down"):
         plan = lineage.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan[: plan.index("MapInArrow")] and "MapInArrow" in plan
 
