@@ -23,6 +23,8 @@ from fieldloom.plans.spread import spread
 TREE = "repo_id string, file_id long, node int, parent int, method int, role string, ordinal int, kind string, name string, text string, line int"
 _ARROW = pa.schema([("repo_id", pa.string()), ("file_id", pa.int64()), *[(c, pa.int32()) for c in ("node", "parent", "method")], ("role", pa.string()), ("ordinal", pa.int32()), *[(c, pa.string()) for c in ("kind", "name", "text")], ("line", pa.int32())])
 BATCH = 20_000
+#: For the ``Scratch`` of trees and what is found in them: larger tables aren't broadcast.
+BROADCAST_ROWS = 20_000
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +245,7 @@ def _target_variables(tree: DataFrame, index: JavaIndex) -> DataFrame:
 def setter_facts(tree: DataFrame, scratch: Scratch, qualifiers: list[str] | None = None, static_helpers: list[str] | None = None, intra_class: bool = True, overrides_only: bool = False) -> DataFrame:
     """What methods set on their target: ``repo_id, file_id, class_fqn, method, line, target_path, kind, expression, source_type, source_path, helper_fqn, trail, confidence``.
 
-    tree: a written ``java_tree``. One row per call that sets a member of the target variable, and one of kind ``enrichment``, without source, per other call that is
+    tree: a written ``java_tree``, by a ``Scratch`` with a bound on broadcasts if it may be large. One row per call that sets a member of the target variable, and one of kind ``enrichment``, without source, per other call that is
     given a getter chain of it. The source is the path from a parameter, null where none is found (constants, constructions) or where it is the parameter itself; source_type
     is the parameter's type. qualifiers, static_helpers: globs for the classes that helpers are followed into; null for all.
     """

@@ -18,7 +18,7 @@ from fieldloom.operators.impact import impact, with_entry_points, with_fields
 from fieldloom.operators.lineage import compare_schemas, diff_versions, field_links, graph_of, key_links, reach, trace
 from fieldloom.operators.extract import assembled_entry_points, classify_class, code_lines, methods, setter_edges, units
 from fieldloom.operators.leaves import java_leaves, xsd_elements, xsd_leaves
-from fieldloom.operators.resolve import java_index, java_tree, setter_facts
+from fieldloom.operators.resolve import BROADCAST_ROWS, java_index, java_tree, setter_facts
 from fieldloom.plans.scratch import Scratch
 from fieldloom.sinks.documents import linked_nodes, markdown_lines
 from fieldloom.sinks.snapshot import table_digest
@@ -702,7 +702,7 @@ def x17_entry_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _java(spark: SparkSession, d: str) -> tuple[DataFrame, Scratch]:
-    scratch = Scratch(spark)
+    scratch = Scratch(spark, BROADCAST_ROWS)
     return scratch.cut(java_tree(read_table(spark, d, "source_file"))), scratch
 
 

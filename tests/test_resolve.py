@@ -1,8 +1,11 @@
 import random
 
+from pyspark.sql import functions as F
+
 from fieldloom.functions.javascan import java_nodes
-from fieldloom.operators.resolve import field_types, java_index, java_tree, setter_facts
+from fieldloom.operators.resolve import BROADCAST_ROWS, field_types, java_index, java_tree, setter_facts
 from fieldloom.plans.scratch import Scratch
+from fieldloom.queries import lineage
 
 IMPL = """package p.mapper;
 import p.model.Local; import p.model.Src; import p.q.Qualifiers; import p.u.Texts;
@@ -80,6 +83,30 @@ def test_plans_stay_short_whatever_the_rounds(spark, monkeypatch):
     assert (got["Deep"], got["p.mapper.Impl"], max(scans) <= 12) == ("end", "field50K.value", True), max(scans)
 
 
+def test_large_tables_are_not_broadcast_however_well_they_compress(spark):
+    def joins(scratch, n):
+        table = scratch.cut(spark.range(n).select("id", F.lit("x" * 50).alias("name")))
+        group = scratch.group()
+        parts = scratch.whole(group, [scratch.add(group, spark.range(n * i // 4, n * (i + 1) // 4)) for i in range(4)][0])
+        found = spark.range(10).join(table.filter("id > 1"), "id").join(parts.select(F.col("id").alias("other")), F.col("id") == F.col("other"))
+        assert found.count() == 8
+        return found._jdf.queryExecution().executedPlan().toString()
+
+    small, large = (joins(Scratch(spark, BROADCAST_ROWS), n) for n in (100, 30_000))
+    assert small.count("BroadcastHashJoin") and not large.count("BroadcastHashJoin")
+
+
+def test_query_without_broadcasts_of_written_tables(spark, tmp_path, monkeypatch):
+    frame(spark, FILES).write.parquet(str(tmp_path / "source_file.parquet"))
+    plans, write = [], Scratch._write
+    monkeypatch.setattr(Scratch, "_write", lambda self, df, path: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(self, df, path))[1])
+    monkeypatch.setattr(lineage, "BROADCAST_ROWS", 0)
+    got = {r["target_path"]: (r["kind"], r["source_path"]) for r in lineage.QUERIES["x09_resolved_edges"](spark, str(tmp_path)).collect()}
+    assert len(got) == 15 and (got["agent"], got["both"], got["loop"]) == (("qualifier", "txInfo.inst.bic"), ("expression", "x"), ("expression", None))
+    # only joins of joins, whose size isn't taken from files, are left to the optimizer
+    assert sum(p.count("BroadcastHashJoin") for p in plans) <= 2 and sum(p.count("SortMergeJoin") for p in plans) > 20
+
+
 def test_helpers_are_followed_as_told(spark):
     scratch = Scratch(spark)
     tree = scratch.cut(java_tree(frame(spark, FILES)))
