@@ -12,6 +12,7 @@ from __future__ import annotations
 from array import array
 from dataclasses import dataclass
 from heapq import heappop, heappush
+from math import isqrt
 
 import numpy as np
 
@@ -19,8 +20,8 @@ from fieldloom.llm.grammar import Grammar
 
 #: What is done, the position, and the token that is inserted or deleted.
 Edit = tuple[str, int, str]
-#: Items taken up per search before it is given up, and cells of the table of bounds (two bytes each) up to which it is made.
-BUDGET, CELLS = 40_000, 30_000_000
+#: Items taken up per search before it is given up, and per token if that is more. Cells of the table of bounds (two bytes each) that are kept at a time.
+BUDGET, PER_TOKEN, CELLS = 40_000, 20, 30_000_000
 FAR = 30_000
 
 
@@ -51,13 +52,14 @@ class Origin:
         self.ends: dict[int, tuple[Edit, ...]] = {}
 
 
-def parse(g: Grammar, kinds: list[str], values: list[str | None] | None = None, last_cut: bool = False, budget: int = BUDGET) -> Repair:
+def parse(g: Grammar, kinds: list[str], values: list[str | None] | None = None, last_cut: bool = False, budget: int | None = None) -> Repair:
     """The cheapest repair of a text, given as kinds of tokens, to a sentence of the grammar, whose first rule ``Start`` ends in ``$``.
 
     values: names of tokens, which those that the grammar pairs must share. last_cut: whether the last token is one that the text's end cut off.
-    Only a search that takes more than ``budget`` items, and a text too long for the table of bounds, may end with a cost that isn't proven:
-    then ``least`` is below ``cost``.
+    Only a search that takes more than ``budget`` items (``BUDGET``, or ``PER_TOKEN`` for each token if that is more) may end with a cost that isn't
+    proven: then ``least`` is below ``cost``.
     """
+    budget = max(BUDGET, PER_TOKEN * len(kinds)) if budget is None else budget
     tokens, names = [*kinds, "$"], [*(values or [None] * len(kinds)), None]
     charts = _plain(g, tokens, names)
     n, reached = len(kinds), len(charts) - 1
@@ -65,7 +67,7 @@ def parse(g: Grammar, kinds: list[str], values: list[str | None] | None = None,
         return Repair(0, 0, (), n, True)
     bound = _completion(g, charts[-1], reached, n)
     # what ends all that is open at the end, the last token left out if it is cut off
-    at_end = bound[0] if reached == n or (last_cut and reached == n - 1) else FAR
+    ends = reached == n or (last_cut and reached == n - 1)
     bad = [i for i, t in enumerate(kinds) if t not in g.terminals]
     least = max(1, len(bad))
     best = bound
@@ -75,7 +77,7 @@ def parse(g: Grammar, kinds: list[str], values: list[str | None] | None = None,
             best = (least, tuple(("delete", i, kinds[i]) for i in bad))
     if best[0] > least:
         best, least = _search(g, tokens, names, best, least, budget)
-    return Repair(best[0], min(least, best[0]), best[1], reached, at_end <= best[0])
+    return Repair(best[0], min(least, best[0]), best[1], reached, ends and bound[0] <= best[0])
 
 
 def _plain(g: Grammar, tokens: list[str], names: list[str | None]) -> list[dict | None]:
@@ -138,62 +140,96 @@ def _completion(g: Grammar, items: dict, at: int, n: int) -> tuple[int, tuple[Ed
     return cost, ((("delete", at, ""),) if at < n else ()) + (("insert", n, ""),)
 
 
-def bounds(g: Grammar, tokens: list[str], cap: int) -> list[array]:
+class Bounds:
     """For each position, by class of state and open brackets, the least edits of the rest of the text in the looser language.
 
-    ``cap`` brackets stand for any greater number, too: one that closes there may lead below it or not.
+    ``cap`` brackets stand for any greater number, too: one that closes there may lead below it or not. A row follows from the one after it. Of a table of more
+    than ``CELLS``, only the rows where blocks begin are kept; a block is filled again when it is asked for, and the last few of them stay.
     """
-    loose = g.loose
-    width, size = cap + 1, loose.n * (cap + 1)
-    depth = np.arange(width)
-
-    def table(to: np.ndarray, step: np.ndarray) -> np.ndarray:
-        at = depth[None, :] + step[:, None]
-        stay = (step[:, None] == 2) & (depth[None, :] == cap)  # a bracket that closes above the cap
-        index = to[:, None] * width + np.where(stay, cap, np.minimum(at, cap))
-        return np.where((at < 0) | ((step[:, None] == 2) & ~stay), size, index)  # the last cell is out of reach
-
-    every, first = table(loose.to, loose.step), loose.first
-    by_token = {}
-    for t in {*tokens[:-1]}:
-        if t in loose.by_token:
-            rows, starts, to, step = loose.by_token[t]
-            by_token[t] = rows, starts, table(to, step)
-    now = np.full(size + 1, FAR, np.int16)
-    now[loose.ends * width] = 0
-    out: list[array] = []
-    for i in range(len(tokens) - 1, -1, -1):
-        if i < len(tokens) - 1:
-            after = now
-            now = after + np.int16(1)
-            if tokens[i] in by_token:
-                rows, starts, index = by_token[tokens[i]]
-                view = now[:-1].reshape(-1, width)
+
+    def __init__(self, g: Grammar, tokens: list[str], cap: int) -> None:
+        self.tokens, self.loose, self.width, size = tokens, g.loose, cap + 1, g.loose.n * (cap + 1)
+        loose, width, depth = g.loose, cap + 1, np.arange(cap + 1)
+
+        def table(to: np.ndarray, step: np.ndarray) -> np.ndarray:
+            at = depth[None, :] + step[:, None]
+            stay = (step[:, None] == 2) & (depth[None, :] == cap)  # a bracket that closes above the cap
+            index = to[:, None] * width + np.where(stay, cap, np.minimum(at, cap))
+            return np.where((at < 0) | ((step[:, None] == 2) & ~stay), size, index)  # the last cell is out of reach
+
+        self.every = table(loose.to, loose.step)
+        self.by_token = {}
+        for t in {*tokens[:-1]}:
+            if t in loose.by_token:
+                rows, starts, to, step = loose.by_token[t]
+                self.by_token[t] = rows, starts, table(to, step)
+        self.block = len(tokens) if len(tokens) * size <= CELLS else isqrt(len(tokens)) + 1
+        self.most = max(2, CELLS // (self.block * size))
+        self.blocks: dict[int, list[array]] = {}
+        self.begins: dict[int, np.ndarray] = {}  # the first row of each block
+        self.hits = (-1, [])
+        now = np.full(size + 1, FAR, np.int16)
+        now[loose.ends * width] = 0
+        self.last = now
+        for b in range((len(tokens) - 1) // self.block, -1, -1):
+            self._fill(b)
+
+    def _fill(self, b: int) -> list[array]:
+        end = min(len(self.tokens), (b + 1) * self.block)
+        now, rows = self.last if end == len(self.tokens) else self.begins[b + 1], []
+        for i in range(end - 1, b * self.block - 1, -1):
+            now = self._before(now, i)
+            rows.append(array("h", now.tobytes()))
+        rows.reverse()
+        self.begins[b] = now
+        while len(self.blocks) >= self.most:
+            del self.blocks[next(iter(self.blocks))]
+        self.blocks[b] = rows
+        return rows
+
+    def _before(self, after: np.ndarray, i: int) -> np.ndarray:
+        """The row of a position from the one after it."""
+        now = after.copy()
+        if i < len(self.tokens) - 1:
+            now += np.int16(1)
+            if self.tokens[i] in self.by_token:
+                rows, starts, index = self.by_token[self.tokens[i]]
+                view = now[:-1].reshape(-1, self.width)
                 view[rows] = np.minimum(view[rows], np.minimum.reduceat(after[index], starts, axis=0))
             now[-1] = FAR
         while True:  # tokens inserted here
-            onward = np.minimum.reduceat(now[every], first, axis=0)
+            onward = np.minimum.reduceat(now[self.every], self.loose.first, axis=0)
             better = np.minimum(now[:-1], onward.ravel() + np.int16(1))
             if np.array_equal(better, now[:-1]):
                 break
             now[:-1] = better
         np.minimum(now, FAR, out=now)
-        out.append(array("h", now.tobytes()))
-    out.reverse()
-    return out
+        return now
+
+    def __getitem__(self, at: int) -> array:
+        b, i = divmod(at, self.block)
+        if self.hits[0] != b:
+            rows = self.blocks.pop(b, None)
+            if rows is None:
+                rows = self._fill(b)
+            else:
+                self.blocks[b] = rows  # the one used last is the last to go
+            self.hits = b, rows
+        return self.hits[1][i]
+
+    def whole(self) -> list[array] | Bounds:
+        """All rows if they are kept, else the table itself."""
+        return self.blocks[0] if self.block == len(self.tokens) else self
 
 
 def _search(g: Grammar, tokens: list[str], names: list[str | None], best: tuple, least: int, budget: int) -> tuple[tuple, int]:
     """The cheapest repair that costs less than ``best``, or that, and what the minimum is at least."""
-    n = len(tokens) - 1
     deep = top = 0
     for t in tokens:
         deep = max(0, deep + g.brackets.get(t, 0))
         top = max(top, deep)
     cap = min(top + 1, 24)
-    if (n + 1) * g.loose.n * (cap + 1) > CELLS:
-        return best, least
-    table = bounds(g, tokens, cap)
+    table = Bounds(g, tokens, cap).whole()
     found, least = _astar(g, tokens, names, table, cap, best, least, budget, 1)
     if found[0] > least:  # not proven: look for a better bound with a greater weight on what is still to come
         for weight in (2, 3):
@@ -201,7 +237,7 @@ def _search(g: Grammar, tokens: list[str], names: list[str | None], best: tuple,
     return found, least
 
 
-def _astar(g: Grammar, tokens: list[str], names: list[str | None], table: list[array], cap: int, best: tuple, least: int, budget: int, weight: int) -> tuple[tuple, int]:
+def _astar(g: Grammar, tokens: list[str], names: list[str | None], table: list[array] | Bounds, cap: int, best: tuple, least: int, budget: int, weight: int) -> tuple[tuple, int]:
     n, width = len(tokens) - 1, cap + 1
     cls, off, shifts, calls, final, start, keyed, paired, only_matched = g.loose.cls, g.off, g.shifts, g.calls, g.final, g.start, g.keyed, g.paired, g.only_matched
     known: list[dict[tuple, int]] = [{} for _ in tokens]  # the cheapest way to an item so far
@@ -213,7 +249,7 @@ def _astar(g: Grammar, tokens: list[str], names: list[str | None], table: list[a
     def push(at: int, q: int, origin: Origin, edits: tuple[Edit, ...]) -> None:
         nonlocal tick
         item, cost = (q, origin), len(edits)
-        if item in done[at] or known[at].get(item, FAR) <= cost:
+        if item in done[at] or known[at].get(item, cost + 1) <= cost:
             return
         depth = origin.depth + off[q]
         rest = table[at][cls[q] * width + (depth if depth < cap else cap)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm import lexers
-from fieldloom.llm.chart import BUDGET, Repair, parse
+from fieldloom.llm.chart import Repair, parse
 from fieldloom.llm.grammar import grammar
 from fieldloom.plans.spread import spread
 
@@ -33,7 +34,7 @@ def _last_cut(language: str, text: str, tokens: list[tuple[str, int]]) -> bool:
     return bool(tokens) and tokens[-1][0] == "ERROR" and lexers.cut_off(language, text[tokens[-1][1] :])
 
 
-def _parsed(language: str, text: str, tokens: list[tuple[str, int]], budget: int) -> Repair:
+def _parsed(language: str, text: str, tokens: list[tuple[str, int]], budget: int | None) -> Repair:
     kinds, last_cut = [kind for kind, _ in tokens], _last_cut(language, text, tokens)
     if language != "xsd":
         return parse(grammar(language), kinds, None, last_cut, budget)
@@ -49,7 +50,8 @@ def _reason(text: str, tokens: list[tuple[str, int]], repair: Repair, last_cut:
     places = [p for way, i, token in repair.edits for p in (range(i, n) if way == "delete" and not token else [i])]
     if repair.reached >= max(1, n - last_cut) and (repair.at_end or min(places) >= max(1, n - cost)):
         return "truncation"
-    line = lambda i: text.count("\n", 0, tokens[i][1]) if i < n else -1
+    ends = [i for i, c in enumerate(text) if c == "\n"]
+    line = lambda i: bisect_left(ends, tokens[i][1]) if i < n else -1
     lines, edited = {line(i) for i in range(n)}, {line(i) for i in places}
     all_over = max(places) - min(places) >= n / 2 and (len(lines) < 4 or len(edited) >= len(lines) * MISMATCH_LINES)
     if repair.least >= n or repair.least > max(2, n * MISMATCH_TOKENS) and all_over:
@@ -57,7 +59,7 @@ def _reason(text: str, tokens: list[tuple[str, int]], repair: Repair, last_cut:
     return "truncation" if repair.exact and 1 < cost < n / 3 and max(places) <= cost else "error"
 
 
-def examine(language: str, text: str, budget: int = BUDGET) -> tuple[int, int, bool, int | None, str | None]:
+def examine(language: str, text: str, budget: int | None = None) -> tuple[int, int, bool, int | None, str | None]:
     """Tokens, edit cost, whether it is exact, line of the first error and reason of a text.
 
     The reason follows from where a cheapest repair edits: ``conflict`` (at markers of a merge conflict, be it a lone one that is left), ``truncation`` (only at

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fieldloom.llm import lexers
+from fieldloom.llm import chart, lexers
 from fieldloom.llm.chart import _plain, parse
 from fieldloom.llm.grammar import Grammar, grammar
 from fieldloom.llm.syntax import check_syntax, examine, syntax_rates
@@ -163,6 +163,27 @@ def test_a_search_that_is_given_up_gives_bounds():
     assert not short.exact and 1 <= short.least <= 6 <= short.cost
 
 
+@pytest.mark.parametrize(
+    ("language", "text"),
+    [
+        ("java", "class A {\n" + " void f() { if (a) { b(c(1)); } }\n" * 8 + " int x = ;\n void g() { h(; }\n" + " int y = 1;\n" * 20 + "}"),
+        ("json", "[" + ", ".join(['{"a": [1, true]}'] * 20) + ' {"b" 1}, ' + ", ".join(['{"a": [1, true]}'] * 20) + "]"),
+        ("xsd", "<a>" + "<b><c/></b>" * 10 + "<b><c></b>" + "<b><c/></b>" * 10 + "</d>"),
+        ("java", "import os\n\ndef f(src):\n    out = {}\n    out['a'] = src.get('b')\n    return out\n"),
+    ],
+)
+def test_a_table_of_bounds_kept_in_parts_gives_the_same(monkeypatch, language, text):
+    whole = examine(language, text)
+    monkeypatch.setattr(chart, "CELLS", 1)  # the least: two blocks at a time
+    assert examine(language, text) == whole
+
+
+def test_a_long_text_is_searched_as_a_short_one():
+    items = [f'"k{i}": {{"a": [{i}, true]}}' for i in range(2_200)]
+    text = "{" + ",\n".join(items[:1_100]) + "\n" + ",\n".join(items[1_100:]) + "}"
+    assert examine("json", text) == (26_400, 1, True, 1_101, "error")
+
+
 @pytest.mark.parametrize(
     ("language", "text", "line", "reason"),
     [
