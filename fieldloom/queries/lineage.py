@@ -407,12 +407,6 @@ def q16_compare_models(spark: SparkSession, d: str) -> DataFrame:
 LINKS_DEEP = 7
 
 
-def _seeds(spark: SparkSession, d: str, links: DataFrame, side: str, other: str) -> DataFrame:
-    """Ends of the lineage: fields that lead somewhere, but to which nothing leads."""
-    ends = links.select(F.col(side).alias("seed")).distinct()
-    return ends.join(links.select(F.col(other).alias("seed")).distinct(), "seed", "left_anti")
-
-
 def _graph_of_fields(spark: SparkSession, d: str) -> tuple[DataFrame, Broadcast | bool]:
     scratch = Scratch(spark)
     links = scratch.cut(field_links(read_table(spark, d, "edges")))
@@ -421,8 +415,8 @@ def _graph_of_fields(spark: SparkSession, d: str) -> tuple[DataFrame, Broadcast
 
 def _both_ways(spark: SparkSession, d: str, operator: Callable[..., DataFrame]) -> DataFrame:
     links, graph = _graph_of_fields(spark, d)
-    down = operator(links, _seeds(spark, d, links, "a", "b"), LINKS_DEEP, graph=graph).select(F.lit("down").alias("direction"), "*")
-    up = operator(links, _seeds(spark, d, links, "b", "a"), LINKS_DEEP, upstream=True, graph=graph).select(F.lit("up").alias("direction"), "*")
+    down = operator(links, None, LINKS_DEEP, graph=graph).select(F.lit("down").alias("direction"), "*")
+    up = operator(links, None, LINKS_DEEP, upstream=True, graph=graph).select(F.lit("up").alias("direction"), "*")
     return down.unionByName(up)
 
 
@@ -435,21 +429,21 @@ _TRACE = """WITH RECURSIVE l AS (SELECT DISTINCT source_field_id AS a, target_fi
 def q14_trace_lineage_down(spark: SparkSession, d: str) -> DataFrame:
     """Fields that depend on each origin, over all seven links of the reference."""
     links, graph = _graph_of_fields(spark, d)
-    return trace(links, _seeds(spark, d, links, "a", "b"), LINKS_DEEP, graph=graph)
+    return trace(links, None, LINKS_DEEP, graph=graph)
 
 
 @query(_TRACE.format(a="b", b="a"))
 def q14_trace_lineage_up(spark: SparkSession, d: str) -> DataFrame:
     """Fields on which each final field depends, over as many links."""
     links, graph = _graph_of_fields(spark, d)
-    return trace(links, _seeds(spark, d, links, "b", "a"), LINKS_DEEP, upstream=True, graph=graph)
+    return trace(links, None, LINKS_DEEP, upstream=True, graph=graph)
 
 
 @query(f"WITH x AS ({_TRACE.format(a='a', b='b')}) SELECT seed, count(*) AS n_fields, max(depth) AS longest, count(DISTINCT split_part(field, '#', 1)) AS n_schemas FROM x GROUP BY 1")
 def q15_impact_of_change(spark: SparkSession, d: str) -> DataFrame:
     """How far a change of each origin reaches."""
     links, graph = _graph_of_fields(spark, d)
-    return reach(links, _seeds(spark, d, links, "a", "b"), LINKS_DEEP, graph=graph)
+    return reach(links, None, LINKS_DEEP, graph=graph)
 
 
 _ALL_LINKS = "l0 AS (SELECT DISTINCT source_field_id AS a, target_field_id AS b FROM edges WHERE source_field_id IS NOT NULL AND target_field_id IS NOT NULL), l AS (SELECT * FROM l0 WHERE a <> b)"

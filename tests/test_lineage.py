@@ -115,6 +115,20 @@ def test_traces_shuffle_no_pairs(spark, tmp_path):
         assert "Exchange" not in plan[: plan.index("MapInArrow")] and "MapInArrow" in plan
 
 
+def test_written_traces_repeat_little(spark, tmp_path):
+    name = "sha2('{}' || id, 256)"
+    hub = spark.range(20_000).selectExpr("'hub' || id % 2 AS a", f"{name.format('t')} AS b")
+    links = hub.unionByName(spark.range(80).selectExpr(f"{name.format('s')} AS a", "'hub' || id % 2 AS b"))
+    found = trace(links, spark.range(80).selectExpr(f"{name.format('s')} AS seed"))
+    found.write.parquet(f"{tmp_path}/found")
+    read = spark.read.parquet(f"{tmp_path}/found")
+    assert read.count() == read.distinct().count() == 80 * 10_001
+    assert sum(f.stat().st_size for f in (tmp_path / "found").glob("*.parquet")) < 8 * 80 * 10_001  # of about 130 bytes of text a row
+    for upstream in (False, True):  # all ends, as the graph knows them and as joins find them
+        few = spark.range(60).selectExpr("'f' || id % 20 AS a", "'f' || (id % 20 + id) AS b").filter("a <> b").distinct()
+        assert rows(trace(few, None, upstream=upstream)) == rows(trace(few, None, upstream=upstream, graph=False)) != []
+
+
 def test_trace_goes_on_by_business_key(spark):
     pairs = [("a", "b"), ("c", "d"), ("e", "e"), ("x", "b")]
     edges = spark.createDataFrame([*pairs, (None, "d")], "source_field_id string, target_field_id string")
